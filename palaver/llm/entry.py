@@ -7,12 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import linededup, mixing, neardup, packing, quality
+from palaver.llm import langid, license, linededup, mixing, neardup, packing, paragraphs, quality, warc, winnowing
 from palaver.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = license.scan_documents(load(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("found", lambda f: F.struct(f["confirmed"], f["score"], f["license"], f["similarity"])))
+    got = got.withColumn("_best", best)
+    return got.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("found").cast("long").alias("n_licensed"),
+        F.col("_best.license").alias("license"),
+        F.round("_best.score", 6).alias("score"),
+        F.round("_best.similarity", 6).alias("similarity"),
+        F.coalesce(F.col("_best.confirmed"), F.lit(False)).alias("confirmed"),
+        F.array_sort(F.array_distinct(F.transform("found", lambda f: f["license"]))).alias("licenses"),
+    )
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    learned = docs.select("doc_id", "text", "lang").where(~langid.held_out(F.col("doc_id")))
+    return langid.predict(docs, langid.fit(learned))
+
+
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.derive(warc.respond(load(spark, sf_dir, "pages")))
+    return got.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = linededup.dedup_lines(load(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -31,6 +58,20 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = winnowing.compare_with_edits(load(spark, sf_dir, "documents"))
+    return got.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnowing.digest(F.col("positions"), F.col("hashes")).alias("fingerprint"),
+        winnowing.digest(F.col("edited_positions"), F.col("edited_hashes")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        F.size("positions").cast("long").alias("n_picks"),
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
@@ -40,8 +81,13 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(load(spark, sf_dir, "documents")).drop("th")
+
+
 def queries() -> dict[str, Query]:
-    found = [op4_line_dedup, op5_quality_rules, op6_source_mixing, op8_packing, op9_minhash_near_dedup]
+    found = [op1_license_scan, op2_language_id, op3_warc_derivatives, op4_line_dedup, op5_quality_rules]
+    found += [op6_source_mixing, op7_winnowing, op8_packing, op9_minhash_near_dedup, op10_paragraph_dedup]
     return {f.__name__: f for f in found}
 
 

@@ -2,7 +2,8 @@
 
 An item (document, paragraph) is the set of its distinct word shingles. Equal sets are
 one node, named by a 128-bit digest. Nodes that agree on all rows of a band meet in a
-bucket; a bucket's least node is its leader.
+bucket; the bucket's leader is the node that meets the most others over all its buckets,
+usually the text that its near copies stem from.
 
 1. Star: every member is paired with its leaders. Signatures are compared batch by batch;
    with a uniform prior the similarity given m of n agreements is Beta(m + 1, n - m + 1),
@@ -11,12 +12,14 @@ bucket; a bucket's least node is its leader.
    below the threshold, so overlaps are known for all but far members.
 2. Components of the links so far. A member that is in its leader's component needs no
    further comparison inside the bucket. What is left are outsiders.
-3. Outsiders meet the other members of a leader's group only where an exact bound allows a
-   link: sizes must fit, and the overlap of x and y is at most
-   min(|x & L|, |y & L|) + min(s_x, s_y), with s the number of a member's shingles outside
-   L that another member has too. Far members cannot link to members close to the leader
-   (triangle inequality of the Jaccard distance). The surviving pairs are pruned and verified
-   as before, with the bound at the threshold.
+3. Outsiders meet the other members of a leader's group only where a link is possible. Let
+   d(x) be the symmetric difference of x and the leader. x and y link only if d(x) and d(y)
+   share at least (|d(x)| + |d(y)| - (|x| + |y|) / 9) / 2 shingles (at 80 percent), so with
+   the differences ordered from rare to frequent within the group, short prefixes must meet,
+   early enough that what follows can still suffice (prefix and positional filters, exact).
+   Far members, whose difference is not known, meet others by size; they cannot link to
+   members close to the leader (triangle inequality of the Jaccard distance). The surviving
+   pairs are pruned and verified as before, with the bound at the threshold.
 
 So a group of near copies costs one comparison per member and bucket leader, not one per
 pair, and every pair of nodes that shares a bucket is either verified, excluded by a bound
@@ -28,20 +31,20 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import forget, materialise, small_batches
+from palaver.llm.common import forget, materialise, row_hash, small_batches
 from palaver.llm.components import components
 
-#: Rows of a band and bands. A pair at similarity 0.8 shares no band with probability
-#: (1 - 0.8**6)**40 = 5e-6; one at 0.1 shares one with probability 4e-5.
-ROWS, BANDS = 6, 40
+#: Most rows of a chosen table that are broadcast (24 bytes each); beyond, the join shuffles.
+BROADCAST_ROWS = 300_000
 #: Agreements are counted on so many 16-bit hashes, in batches of so many.
 SIGNATURE, BATCH = 128, 16
 #: Chosen miss probability of a Bayesian prune.
@@ -55,6 +58,23 @@ SIZE_STEP = 1.03
 _WORDS_KEPT = 400_000
 
 
+@dataclass(frozen=True)
+class Banding:
+    """Rows of a band, bands, and whether signatures are kept for the sequential prune."""
+
+    rows: int
+    bands: int
+    prune: bool = True
+
+    def missed(self, similarity: float) -> float:
+        """Probability that a pair shares no band."""
+        return (1 - similarity**self.rows) ** self.bands
+
+
+#: Misses a pair at similarity 0.8 with probability 2e-5; one at 0.1 meets with 4e-5.
+DOCUMENTS = Banding(6, 36)
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of the k-word shingles of a text.
 
@@ -101,7 +121,7 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     return multiply, rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def minhashes(hashes: np.ndarray, n: int = ROWS * BANDS) -> np.ndarray:
+def minhashes(hashes: np.ndarray, n: int) -> np.ndarray:
     multiply, flip = _constants(n)
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.full(n, 2**32 - 1, np.uint32)
@@ -110,10 +130,10 @@ def minhashes(hashes: np.ndarray, n: int = ROWS * BANDS) -> np.ndarray:
     return out
 
 
-def band_keys(mins: np.ndarray) -> np.ndarray:
-    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-    by_band = mins.reshape(BANDS, ROWS).astype(np.uint64)
-    for r in range(ROWS):
+def band_keys(mins: np.ndarray, banding: Banding) -> np.ndarray:
+    key = np.arange(banding.bands, dtype=np.uint64) + np.uint64(1)
+    by_band = mins.reshape(banding.bands, banding.rows).astype(np.uint64)
+    for r in range(banding.rows):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + by_band[:, r])
     return key.view(np.int64)
 
@@ -158,7 +178,7 @@ def _batched(arrays: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, schema)], schema=schema)
 
 
-def sketches(items: DataFrame, k: int) -> DataFrame:
+def sketches(items: DataFrame, k: int, banding: Banding) -> DataFrame:
     """items (text and others): the others with n (size of the set), node, bands and sig.
 
     Empty sets have a null node.
@@ -174,10 +194,10 @@ def sketches(items: DataFrame, k: int) -> DataFrame:
                 h = shingles(text.as_py())
                 n.append(len(h))
                 if len(h):
-                    mins = minhashes(h)
+                    mins = minhashes(h, banding.rows * banding.bands)
                     node.append(xxhash.xxh3_128_digest(h.tobytes()))
-                    bands.append(band_keys(mins))
-                    sig.append(signature(mins))
+                    bands.append(band_keys(mins, banding))
+                    sig.append(signature(mins) if banding.prune else None)
                 else:
                     node.append(None)
                     bands.append(None)
@@ -209,7 +229,7 @@ def _plausible_pairs(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFra
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with n_a, n_b, overlap, and ``own``: the hashes of b that a lacks.
+    """pairs (a, b) with n_a, n_b, overlap, and ``diff``: the hashes that one of them lacks.
 
     ``sets``: (node, hashes). The set of b travels first, that of a last, so the set of a
     leader with many members is not copied through a shuffle.
@@ -217,11 +237,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b"))
     a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a"))
     joined = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("overlap", pa.int64()), ("own", pa.list_(pa.int64()))])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("overlap", pa.int64()), ("diff", pa.list_(pa.int64()))])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_a, n_b, overlap, own = [], [], [], []
+            n_a, n_b, overlap, diff = [], [], [], []
             for x, y in zip(batch.column("set_a"), batch.column("set_b")):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 at = np.searchsorted(x, y)
@@ -229,17 +249,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 n_a.append(len(x))
                 n_b.append(len(y))
                 overlap.append(int(both.sum()))
-                own.append(y[~both].view(np.int64))
-            yield _batched([batch.column("a"), batch.column("b"), n_a, n_b, overlap, own], schema)
+                lost = np.ones(len(x), bool)
+                lost[at[both]] = False
+                diff.append(np.concatenate([x[lost], y[~both]]).view(np.int64))
+            yield _batched([batch.column("a"), batch.column("b"), n_a, n_b, overlap, diff], schema)
 
-    return joined.mapInArrow(compared, "a binary, b binary, n_a long, n_b long, overlap long, own array<long>")
+    return joined.mapInArrow(compared, "a binary, b binary, n_a long, n_b long, overlap long, diff array<long>")
 
 
 def _sets(items: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, key: list[str]) -> DataFrame:
     """(node, hashes) of ``nodes``: the full sets, from one item's text each."""
     chosen = rows.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*key)).alias("_one"))
-    chosen = chosen.select("node", *[F.col(f"_one.`{c}`").alias(f"_{c}") for c in key])
+    chosen = materialise(chosen, "near-chosen").select("node", *[F.col(f"_one.`{c}`").alias(f"_{c}") for c in key])
     by = functools.reduce(lambda x, y: x & y, [items[c].eqNullSafe(chosen[f"_{c}"]) for c in key])
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     texts = items.join(chosen, by).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
     return texts.mapInArrow(_hashed(k), "node binary, hashes binary")
 
@@ -262,21 +286,27 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log(n) / F.lit(math.log(SIZE_STEP)))
 
 
-def near_groups(items: DataFrame, key: list[str], k: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def near_groups(
+    items: DataFrame, key: list[str], k: int, percent: int = PERCENT, banding: Banding = DOCUMENTS
+) -> tuple[DataFrame, DataFrame]:
     """items: (*key, text), equal keys having equal texts.
 
     Returns the sketched rows (*key, n, node) and (node, comp) of the linked nodes.
     """
-    rows = materialise(sketches(items, k), "near-sketch")
+    rows = materialise(sketches(items, k, banding), "near-sketch")
     full = rows.where("node is not null")
     nodes = materialise(full.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-nodes")
     sigs = nodes.select("node", "sig")
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    leaders = placed.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = placed.join(leaders, "bucket").where("node != a").select("a", F.col("node").alias("b"))
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialise(placed.join(sizes, "bucket"), "near-shared")
+    degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
+    chief = F.max(F.struct("degree", "node"))["node"].alias("a")
+    leaders = shared.join(degree, "node").groupBy("bucket").agg(chief)
+    met = shared.join(leaders, "bucket").where("node != a").select("a", F.col("node").alias("b"))
     met = materialise(met.groupBy("a", "b").agg(F.lit(1).alias("_one")).select("a", "b"), "near-met")
 
-    star = materialise(_plausible_pairs(met, sigs, min(STAR_PERCENT, percent)), "near-star")
+    star = materialise(_plausible_pairs(met, sigs, min(STAR_PERCENT, percent)), "near-star") if banding.prune else met
     needed = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
     sets = materialise(_sets(items, rows.select(*key, "node"), needed, k, key), "near-sets")
     seen = materialise(_verified(star, sets), "near-seen")
@@ -284,7 +314,7 @@ def near_groups(items: DataFrame, key: list[str], k: int, percent: int = PERCENT
     first = materialise(components(links), "near-first")
 
     more = _outsider_pairs(met, seen, first, nodes.select("node", "n"), percent)
-    pairs = materialise(_plausible_pairs(more, sigs, percent), "near-more")
+    pairs = materialise(_plausible_pairs(more, sigs, percent) if banding.prune else more, "near-more")
     if not pairs.isEmpty():
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         lacking = materialise(ends.join(sets.select("node"), "node", "left_anti"), "near-lacking")
@@ -295,7 +325,7 @@ def near_groups(items: DataFrame, key: list[str], k: int, percent: int = PERCENT
         found = materialise(components(all_links), "near-comps")
     else:
         found = first
-    forget(met, star, seen, sets, nodes)
+    forget(met, shared, star, seen, nodes)
     return rows.select(*key, "n", "node"), found
 
 
@@ -303,49 +333,61 @@ def _outsider_pairs(met: DataFrame, seen: DataFrame, comps: DataFrame, sizes: Da
     """(a, b) of different components in one leader's group that no bound excludes."""
     comp = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"comp_{name}"))
     members = met.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
-    members = members.withColumn("comp_a", F.coalesce("comp_a", "a")).withColumn("comp_b", F.coalesce("comp_b", "b"))
-    members = members.withColumn("out", F.col("comp_a") != F.col("comp_b"))
-    open_groups = members.groupBy("a").agg(F.max("out").alias("open"), F.count(F.lit(1)).alias("size")).where("open and size > 1")
-    members = members.join(open_groups.select("a"), "a", "left_semi")
-    known = seen.select("a", "b", "overlap", "n_a", "n_b", "own")
-    members = members.join(known, ["a", "b"], "left").join(sizes.select(F.col("node").alias("b"), "n"), "b")
+    members = members.withColumn("comp", F.coalesce("comp_b", "b"))
+    members = members.withColumn("out", F.coalesce("comp_a", "a") != F.col("comp"))
+    groups = members.groupBy("a").agg(F.max("out").alias("open"), F.count(F.lit(1)).alias("size")).where("open and size > 1")
+    members = members.select("a", "b", "comp", "out").join(groups.select("a"), "a", "left_semi")
+    members = members.join(seen, ["a", "b"], "left").join(sizes.select(F.col("node").alias("b"), "n"), "b")
     members = materialise(members, "near-members")
-    # shingles outside the leader that two members or more have
-    own = members.select("a", "b", F.explode("own").alias("h"))
-    shared = own.groupBy("a", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    s = own.join(shared.select("a", "h"), ["a", "h"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"))
-    m = members.drop("own").join(s, ["a", "b"], "left")
+    pairs = _by_difference(members.where("overlap is not null"), percent).unionByName(_by_size(members, percent))
+    return pairs.groupBy("a", "b").agg(F.lit(1).alias("_one")).select("a", "b")
+
+
+def _by_difference(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members with known differences, by prefix and positional filters."""
+    slack = (100 - percent) / (100 + percent)
+    near = near.withColumn("d", F.size("diff"))
+    tokens = near.select("a", "b", F.explode("diff").alias("h"))
+    often = tokens.groupBy("a", "h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = tokens.join(often, ["a", "h"]).join(near.select("a", "b", "comp", "out", "n", "n_a", "d"), ["a", "b"])
+    member = Window.partitionBy("a", "b")
+    # shingles that no other member has come first and are not carried along
+    place = F.col("d") - F.count(F.lit(1)).over(member) + F.row_number().over(member.orderBy("df", "h")) - 1
+    held = held.withColumn("left", F.col("d") - place)
+    # least overlap with any outsider, and of an outsider with any member
+    of_x = (F.col("d") + slack * (F.col("n_a") - F.col("n"))) / 2
+    of_y = (F.col("d") - slack * (F.col("n_a") + F.col("n"))) / 2
+    least = lambda c: F.greatest(F.lit(1), F.ceil(c - 1e-9))
+    cols = ("b", "comp", "out", "n", "d", "left")
+    x = held.where(F.col("left") >= least(of_x)).select("a", "h", *[F.col(c).alias(f"x_{c}") for c in cols])
+    y = held.where("out").where(F.col("left") >= least(of_y)).select("a", "h", *[F.col(c).alias(f"y_{c}") for c in cols])
+    needed = (F.col("x_d") + F.col("y_d") - slack * (F.col("x_n") + F.col("y_n"))) / 2 - 1e-9
+    fits = (F.col("x_comp") != F.col("y_comp")) & (F.least("x_left", "y_left") >= needed)
+    return y.join(x, ["a", "h"]).where(fits).select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b"))
+
+
+def _by_size(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs with a far member, by size classes and the triangle inequality."""
     far = F.col("overlap").isNull()
-    # the overlap with anything in the group is at most i + s; unknown for far members
-    m = m.withColumn("i", F.when(far, F.col("n")).otherwise(F.col("overlap")))
-    m = m.withColumn("s", F.when(far, F.lit(0)).otherwise(F.coalesce("s", F.lit(0))))
     jaccard = F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))
-    m = m.withColumn("j", jaccard).select("a", "b", "comp_b", "out", "n", "i", "s", "j", far.alias("far"), _size_class(F.col("n")).alias("size_class"))
-    m = materialise(m, "near-bounds")
-    ratio = 100 / percent
-    # a partner's size n_x must satisfy percent * (n_x + n_y) <= (100 + percent) * overlap
-    reach = F.when(F.col("far"), F.col("n") * ratio).otherwise(
-        F.least(F.col("n") * ratio, (100 + percent) / percent * (F.col("i") + F.col("s")) - F.col("n"))
-    )
-    low = _size_class(F.greatest(F.col("n") * (1 / ratio) - 1, F.lit(1)))
-    outs = m.where("out").withColumn("reach", reach + 1e-6).where(F.col("reach") >= F.col("n") * (1 / ratio) - 1e-6)
-    outs = outs.withColumn("size_class", F.explode(F.sequence(low, F.greatest(low, _size_class(F.greatest("reach", F.lit(1)))))))
-    y = outs.select("a", "size_class", *[F.col(c).alias(f"y_{c}") for c in ("b", "comp_b", "out", "n", "i", "s", "j", "far")])
-    x = m.select("a", "size_class", *[F.col(c).alias(f"x_{c}") for c in ("b", "comp_b", "out", "n", "i", "s", "j", "far")])
-    bound = F.when(F.col("x_far") | F.col("y_far"), F.least("x_n", "y_n")).otherwise(
-        F.least("x_i", "y_i") + F.least("x_s", "y_s")
-    )
-    apart = lambda p, q: F.col(f"{p}_far") & (F.coalesce(F.col(f"{q}_j"), F.lit(0.0)) > (STAR_PERCENT + 100 - percent) / 100)
+    m = members.select("a", "b", "comp", "out", "n", jaccard.alias("j"), far.alias("far"))
+    low = _size_class(F.greatest(F.col("n") * (percent / 100) - 1, F.lit(1)))
+    classes = F.explode(F.sequence(low, _size_class(F.col("n") * (100 / percent) + 1)))
+    cols = ("b", "comp", "out", "n", "j", "far")
+    y = m.where("out").withColumn("c", classes).select("a", "c", *[F.col(x).alias(f"y_{x}") for x in cols])
+    x = m.withColumn("c", _size_class(F.col("n"))).select("a", "c", *[F.col(x).alias(f"x_{x}") for x in cols])
+    close = (STAR_PERCENT + 100 - percent) / 100
+    apart = lambda p, q: F.col(f"{p}_far") & (F.coalesce(F.col(f"{q}_j"), F.lit(0.0)) > close)
     fits = (
-        (F.col("x_comp_b") != F.col("y_comp_b"))
-        & (~F.col("x_out") | (F.col("x_b") < F.col("y_b")))
-        & _linked(F.col("x_n"), F.col("y_n"), bound, percent)
+        (F.col("x_comp") != F.col("y_comp"))
+        & _linked(F.col("x_n"), F.col("y_n"), F.least("x_n", "y_n"), percent)
         & ~apart("x", "y")
         & ~apart("y", "x")
     )
-    pairs = y.join(x, ["a", "size_class"]).where(fits)
-    pairs = pairs.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.lit(1).alias("_one")).select("a", "b")
+    ends = (F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b"))
+    with_far = y.join(x.where("x_far"), ["a", "c"]).where(fits).select(*ends)
+    of_far = y.where("y_far").join(x.where("not x_far"), ["a", "c"]).where(fits).select(*ends)
+    return with_far.unionByName(of_far)
 
 
 def label(rows: DataFrame, comps: DataFrame, order: list[str]) -> DataFrame:
@@ -366,8 +408,6 @@ def near_documents(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataF
     The first of a group is the smallest doc_id (a null id last, then the smaller th); it is
     kept. Texts without words are linked with nothing.
     """
-    from palaver.llm.common import row_hash
-
     items = docs.select("doc_id", row_hash().alias("th"), "text")
     rows, comps = near_groups(items, ["doc_id", "th"], k, percent)
     rows = rows.withColumn("id_null", F.col("doc_id").isNull())
@@ -382,17 +422,16 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame
 
     Of repeated rows (equal doc_id and text) one stays.
     """
-    from pyspark.sql import Window
-
-    from palaver.llm.common import row_hash
-
     names = docs.columns
-    found = near_documents(docs, k, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_h")).distinct()
+    found = materialise(near_documents(docs, k, percent).select("doc_id", "th", "kept"), "near-kept")
+    keyed = found.groupBy("doc_id", "th").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    keyed = materialise(keyed.where("not kept or copies > 1"), "near-gone")
+    gone = keyed.where("not kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_h"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     packed = packed.withColumn("_id2", F.col("_row.doc_id")).withColumn("_h2", row_hash(F.col("_row.text")))
-    # null ids would all meet in one task: a stand-in key spreads them
-    left = F.coalesce("_id2", "_h2"), F.coalesce("_id", "_h")
-    by = (left[0] == left[1]) & F.col("_id2").eqNullSafe(F.col("_id")) & F.col("_h2").eqNullSafe(F.col("_h"))
-    kept = packed.join(found, by, "left_semi")
-    numbered = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_id2", "_h2").orderBy("_h2")))
-    return numbered.where("_n = 1").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    kept = packed.join(gone, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_h2") == F.col("_h")), "left_anti")
+    if not keyed.where("kept").isEmpty():
+        kept = kept.dropDuplicates(["_id2", "_h2"])
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
