@@ -64,11 +64,11 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        winnowing.digest(F.col("positions"), F.col("hashes")).alias("fingerprint"),
-        winnowing.digest(F.col("edited_positions"), F.col("edited_hashes")).alias("edited_fingerprint"),
+        winnowing.digest(F.col("picked")).alias("fingerprint"),
+        winnowing.digest(F.col("edited_picked")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
-        F.size("positions").cast("long").alias("n_picks"),
+        F.size("picked.positions").cast("long").alias("n_picks"),
     )
 
 

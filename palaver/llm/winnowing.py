@@ -1,19 +1,19 @@
 """Document fingerprints by winnowing (DataFrame operations only).
 
-Every run of ``K`` code points has a 64-bit hash. Of each window of ``W`` successive hashes
-the least is picked, the rightmost of equal ones, with its position. So two texts that share
-a passage of at least ``W + K - 1`` code points share a pick, whatever stands around it, and
-a match of picks is no shorter than ``K``.
-
-A text is handled as its UTF-32 bytes, where the run at a position is a slice found without
-counting characters. Hash and negated position are joined in one number, so window minima
-with rightmost ties come from log2(W) element-wise minima of the shifted array. Texts are
-worked off in blocks of windows, which bounds what is held besides the text and its picks.
-
-Defined results: a null text is empty and has no pick; a text shorter than ``K`` is one run,
-one with fewer than ``W`` runs one window. Likeness is the Jaccard similarity of the
-distinct hashes, 1 for two empty texts. Rows are ordered by doc_id, null last, then by the
-hash of the text; equal rows are each other's next. Texts hold up to 2**27 code points.
+A text is a sequence of tokens: runs without white space, and each character of scripts
+that are written without spaces. Every run of ``K`` tokens has a 64-bit hash. Of each window
+of ``W`` successive hashes the least is picked, the rightmost of equal ones, with its position
+(the number of its first token). So two texts that share a passage of at least ``W + K - 1``
+tokens share a pick, whatever stands around it, and a match of picks is no shorter than ``K``.
+
+Hash and negated position are joined in one number, so window minima with rightmost ties come
+from log2(W) element-wise minima of an array and its shifted self. That is done in blocks of
+windows, which bounds what is held besides a text's tokens, hashes and picks.
+
+Defined results: a null text is empty; a text without tokens has no pick, one with fewer than
+``K`` tokens is one run, one with fewer than ``W`` runs one window. Likeness is the Jaccard
+similarity of the distinct hashes, 1 if both are empty. Rows are ordered by doc_id, null last,
+then by the hash of the text; equal rows are each other's next. Texts hold up to 2**27 tokens.
 Extra columns do no harm.
 """
 
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from palaver.llm.common import row_hash
 
-K, W = 24, 32
+K, W = 5, 16
 #: Windows of a block.
-BLOCK = 8192
+BLOCK = 4096
+#: Scripts whose characters are tokens by themselves (fixed values).
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+TOKEN = rf"[{UNSPACED}]|[^\s{UNSPACED}]+"
 _POSITION_BITS = 27
 _LAST = (1 << _POSITION_BITS) - 1
-_HASH_MASK = (1 << (63 - _POSITION_BITS)) - 1
 #: Rows of a bucket of neighbouring doc_ids, and the most buckets.
 BUCKET_ROWS, MAX_BUCKETS = 2000, 1 << 16
 
@@ -39,51 +41,56 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _run_hash(raw: Column, position: Column, k: int) -> Column:
-    return F.xxhash64(F.substring(raw, 4 * position + 1, F.lit(4 * k)))
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
+def _run_hash(words: Column, at: Column, k: int) -> Column:
+    """Hash of the tokens from 0-based ``at``; those beyond the end do not count."""
+    return F.xxhash64(*[F.get(words, at + i if i else at) for i in range(k)])
 
 
 def _minima(keys: Column, width: int) -> Column:
-    """Least of each ``width`` successive elements (a power of two), shorter at the end."""
+    """Least of each ``width`` successive elements (a power of two), of fewer at the end."""
     step = 1
     while step < width:
-        keys = _bind(keys, lambda a, s=step: F.zip_with(a, F.slice(a, s + 1, F.greatest(F.size(a) - s, F.lit(0))), lambda x, y: F.least(x, y)))
+        keys = _bind(keys, lambda a, s=step: F.zip_with(a, F.slice(a, s + 1, F.size(a)), lambda x, y: F.least(x, y)))
         step *= 2
     return keys
 
 
-def picks(raw: Column, k: int = K, w: int = W) -> Column:
-    """Picked (hash, position) in the order of positions; ``raw``: UTF-32 bytes of a text."""
-    n = F.floor(F.octet_length(raw) / 4).cast("int")
-    runs = F.greatest(n - k + 1, F.least(n, F.lit(1)))
-    blocks = F.greatest(F.ceil((runs - w + 1) / BLOCK), F.lit(1)).cast("int")
+def _picked(keys: Column, w: int) -> Column:
+    """Distinct least keys of the windows, block by block."""
+    windows = F.greatest(F.size(keys) - w + 1, F.lit(1))
+    starts = F.sequence(F.lit(0), windows - 1, F.lit(BLOCK))
+
+    def block(first: Column) -> Column:
+        part = F.slice(keys, first + 1, F.lit(BLOCK + w - 1))
+        return _bind(part, lambda p: F.array_distinct(F.slice(_minima(p, w), F.lit(1), F.greatest(F.size(p) - w + 1, F.lit(1)))))
+
+    return F.array_distinct(F.flatten(F.transform(starts, block)))
 
-    def block(b: Column) -> Column:
-        first = b * BLOCK
-        count = F.least(runs - first, F.lit(BLOCK + w - 1))
-        low = F.lit(_LAST) - first
-        keys = F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda i: F.shiftleft(_run_hash(raw, first + i, k).bitwiseAND(F.lit(_HASH_MASK)), _POSITION_BITS) + (low - i),
-        )
-        return F.array_distinct(F.slice(_minima(keys, w), F.lit(1), F.greatest(count - w + 1, F.lit(1))))
 
-    every = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), blocks - 1), block)))
-    position = lambda p: (F.lit(_LAST) - p.bitwiseAND(F.lit(_LAST))).cast("int")
-    empty = F.array().cast("array<int>")
-    return F.when(n == 0, empty).otherwise(F.transform(every, position))
+def picks(text: Column, k: int = K, w: int = W) -> Column:
+    """struct<positions, hashes> of the picks of ``text``, in order."""
 
+    def of(words: Column) -> Column:
+        runs = F.greatest(F.size(words) - k + 1, F.lit(1))
+        # hash bits above, so that signed order is theirs; below, less for positions further right
+        key = lambda i: F.shiftleft(_run_hash(words, i, k), _POSITION_BITS) + (F.lit(_LAST) - i)
+        chosen = _bind(F.transform(F.sequence(F.lit(0), runs - 1), key), lambda keys: _picked(keys, w))
+        places = F.transform(chosen, lambda p: (F.lit(_LAST) - p.bitwiseAND(F.lit(_LAST))).cast("int"))
+        found = _bind(places, lambda at: F.struct(at.alias("positions"), F.transform(at, lambda i: _run_hash(words, i, k)).alias("hashes")))
+        none = F.struct(F.array().cast("array<int>").alias("positions"), F.array().cast("array<bigint>").alias("hashes"))
+        return F.when(F.size(words) == 0, none).otherwise(found)
 
-def utf32(text: Column) -> Column:
-    return F.encode(F.coalesce(text, F.lit("")), "UTF-32")
+    return _bind(tokens(text), of)
 
 
 def fingerprint(docs: DataFrame, *, k: int = K, w: int = W) -> DataFrame:
     """doc_id, n_chars, ``positions`` and ``hashes`` of the picks, of every row."""
-    got = docs.select("doc_id", utf32(F.col("text")).alias("_raw"))
-    got = got.withColumn("positions", picks(F.col("_raw"), k, w))
-    hashes = F.transform("positions", lambda p: _run_hash(F.col("_raw"), p, k))
-    return got.select("doc_id", F.floor(F.octet_length("_raw") / 4).cast("long").alias("n_chars"), "positions", hashes.alias("hashes"))
+    size = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
+    return docs.select("doc_id", size.alias("n_chars"), picks(F.col("text"), k, w).alias("_p")).select("doc_id", "n_chars", "_p.*")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -92,9 +99,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def digest(positions: Column, hashes: Column) -> Column:
+def digest(picked: Column) -> Column:
     """A name of the fingerprint, equal for equal texts: a digest of its hashes and positions."""
-    return F.sha2(F.concat(F.array_join(hashes.cast("array<string>"), ","), F.lit(";"), F.array_join(positions.cast("array<string>"), ",")), 256)
+    return F.sha2(F.to_json(picked), 256)
 
 
 def _buckets(docs: DataFrame) -> Column:
@@ -145,24 +152,20 @@ def compare_with_edits(docs: DataFrame, *, k: int = K, w: int = W) -> DataFrame:
     The edited text has its last floor(n / 2) code points replaced by the first as many of
     the next document's.
     """
-    raw = utf32(F.col("text"))
-    columns = {"positions": _bind(raw, lambda r: picks(r, k, w))}
-    got = with_next(docs, columns | {"hashes": _bind(raw, lambda r: F.transform("positions", lambda p: _run_hash(r, p, k)))})
+    got = with_next(docs, {"picked": picks(F.col("text"), k, w)})
     got = got.withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     kept = F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half)
     got = got.withColumn("edited", F.concat(kept, F.substring("next_text", F.lit(1), half)))
-    got = got.withColumn("_raw", utf32(F.col("edited"))).withColumn("edited_positions", picks(F.col("_raw"), k, w))
-    got = got.withColumn("edited_hashes", F.transform("edited_positions", lambda p: _run_hash(F.col("_raw"), p, k)))
+    got = got.withColumn("edited_picked", picks(F.col("edited"), k, w))
+    hashes = {name: F.col(f"{name}.hashes") for name in ("picked", "edited_picked", "next_picked")}
     return got.select(
         "doc_id",
         "n_chars",
         "text",
         "edited",
-        "positions",
-        "hashes",
-        "edited_positions",
-        "edited_hashes",
-        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
-        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        "picked",
+        "edited_picked",
+        likeness(hashes["picked"], hashes["edited_picked"]).alias("near_edited"),
+        likeness(hashes["picked"], hashes["next_picked"]).alias("near_next"),
     )
