@@ -52,9 +52,13 @@ def _run_hash(words: Column, at: Column, k: int) -> Column:
 
 def _minima(keys: Column, width: int) -> Column:
     """Least of each ``width`` successive elements (a power of two), of fewer at the end."""
+
+    def shifted(step: int):
+        return lambda a: F.zip_with(a, F.slice(a, step + 1, F.size(a)), lambda x, y: F.least(x, y))
+
     step = 1
     while step < width:
-        keys = _bind(keys, lambda a, s=step: F.zip_with(a, F.slice(a, s + 1, F.size(a)), lambda x, y: F.least(x, y)))
+        keys = _bind(keys, shifted(step))
         step *= 2
     return keys
 
