@@ -40,8 +40,8 @@ BLOCKS = "address article aside blockquote br dd div dl dt fieldset footer form
 
 _SKIP = re.compile(r"<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)" % "|".join(SKIPPED.split()), re.S | re.I)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>", re.S)
-_BLOCK = re.compile(r"</?(?:%s)\b[^>]*>" % "|".join(BLOCKS.split()), re.I)
-_TAG = re.compile(r"</?[A-Za-z][^>]*>")
+_TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9_]*)[^>]*>")
+_BLOCK_NAMES = frozenset(BLOCKS.split())
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
@@ -55,19 +55,24 @@ def _one_line(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-def page_text(page: str) -> str:
-    """The text of a page: a line per block element, white space collapsed, blank lines left out."""
-    page = _SKIP.sub(" ", _COMMENT.sub(" ", page))
-    page = entities.unescape(_TAG.sub("", _BLOCK.sub("\n", page)))
-    lines = (" ".join(line.split()) for line in page.split("\n"))
+def _shown(page: str) -> tuple[str, str]:
+    """The page without comments, and without skipped elements too."""
+    page = _COMMENT.sub(" ", page)
+    return page, _SKIP.sub(" ", page)
+
+
+def page_text(body: str) -> str:
+    """The text of what is shown: a line per block element, white space collapsed, blank lines left out."""
+    parts = _TAG.split(body)  # texts and tag names in turn
+    parts[1::2] = ["\n" if name.lower() in _BLOCK_NAMES else "" for name in parts[1::2]]
+    lines = (" ".join(line.split()) for line in entities.unescape("".join(parts)).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
-def page_facts(page: str) -> tuple[str, str, list[str]]:
+def page_facts(page: str, body: str) -> tuple[str, str, list[str]]:
     """Title, language and link targets (in order, with repeats)."""
-    shown = _COMMENT.sub(" ", page)
-    title, lang = _TITLE.search(shown), _LANG.search(shown)
-    links = [_one_line(next(g for g in m.groups() if g is not None)) for m in _LINK.finditer(_SKIP.sub(" ", shown))]
+    title, lang = _TITLE.search(page), _LANG.search(page)
+    links = [_one_line(m[1] or m[2] or m[3] or "") for m in _LINK.finditer(body)]
     return _one_line(title[1]) if title else "", lang[1].lower() if lang else "", links
 
 
@@ -132,8 +137,9 @@ def derivatives(source: bytes) -> list[tuple[str, list[tuple[str, str]], bytes]]
         uri, date = of.get("warc-target-uri", ""), of.get("warc-date", PAGE_DATE)
         payload = of.get("warc-payload-digest") or digest(body)
         refers = of.get("warc-record-id") or record_id("response", uri, payload)
-        title, lang, links = page_facts(page)
-        text = page_text(page).encode("utf-8", "surrogatepass")
+        page, shown = _shown(page)
+        title, lang, links = page_facts(page, shown)
+        text = page_text(shown).encode("utf-8", "surrogatepass")
         fields = [("source-status", status)]
         fields += [("source-header", line) for line in http]
         fields += [("source-payload-digest", payload), ("source-block-digest", of.get("warc-block-digest") or digest(block))]
