@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees |
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
     rows = (
         docs.select("doc_id", "text")
-        .join(sample, "doc_id")
+        .join(F.broadcast(sample), "doc_id")  # about FIT_ROWS ids; the texts stay where they are
         .select(F.col("doc_id"), "quality", _statistics_udf("text").alias("s"))
         .select("doc_id", "quality", "s.n_words", "s.n_repeat_words", "s.features")
         .orderBy("doc_id")
