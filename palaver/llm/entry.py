@@ -82,7 +82,8 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeats(load(spark, sf_dir, "documents")).drop("th")
+    docs = load(spark, sf_dir, "documents")
+    return paragraphs.repeats(docs).unionByName(paragraphs.passages(docs), allowMissingColumns=True).drop("th")
 
 
 def queries() -> dict[str, Query]:

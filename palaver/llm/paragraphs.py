@@ -9,20 +9,37 @@ doc_id and place, stays; the others are to be removed.
 Defined results: a null or empty text has no paragraph of that size. A null doc_id comes
 last. Repeated rows (equal doc_id and text) give equal rows, of which all that tie for the
 first stay. Extra columns pass through ``remove_repeats`` untouched.
+
+``passages`` finds what lines cannot show: every run of ``RUN`` words that stands word for
+word in two or more documents, over line breaks and inside otherwise different lines. Of each
+``RUN - SEED + 1`` successive shingles of ``SEED`` words the least hash is picked (winnowing),
+so documents that share a run share its pick. Only runs whose pick is in another document go
+on, and are compared by the hash of the whole run. Rows of equal doc_id and text are one
+document there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import WORD_RE, materialise, row_hash
-from palaver.llm.neardup import PERCENT, Banding, label, near_groups
+from palaver.llm.common import WORD_RE, forget, materialise, row_hash, small_batches
+from palaver.llm.neardup import PERCENT, Banding, _mix, label, near_groups
 
 MIN_WORDS = 40
 SHINGLE = 5
 #: Most acceptable probability that a pair at the threshold shares no band.
 MISS = 1e-4
+#: Words of a run that counts as a passage, and of the shingles that it is found by.
+RUN, SEED = 50, 25
+_BASE = 0x9E3779B97F4A7C15
+_WORDS_KEPT = 400_000
 
 
 def tuned(percent: int = PERCENT, rows: int = 3, miss: float = MISS) -> Banding:
@@ -81,3 +98,128 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     out = {c: F.col(f"_row.`{c}`") for c in names}
     out["text"] = F.when(F.col("_gone").isNull(), out["text"]).otherwise(text)
     return joined.select(*[out[c].alias(c) for c in names])
+
+
+@functools.lru_cache(2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``size`` powers of the base and of its inverse modulo 2**64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(size, np.uint64(base))
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+class Runs:
+    """The stretches of successive runs of ``RUN`` words of a text that are found by the same shingle."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, ...] | None:
+        """Of each stretch its shingle, a hash of its words, and its first run and their number; last
+        a function from a stretch to its runs' hashes. None for a text of fewer words."""
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if len(words) < RUN:
+            return None
+        known = self.known
+        if len(known) > _WORDS_KEPT:
+            known.clear()
+        n = len(words)
+        try:
+            ids = np.fromiter(map(known.__getitem__, words), np.uint64, n)
+        except KeyError:
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w, 7)
+            ids = np.fromiter(map(known.__getitem__, words), np.uint64, n)
+        power, inverse = _powers(1 << max(n - 1, 1).bit_length())
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(ids * power[:n], out=sums[1:])
+        least, width = _mix((sums[SEED:] - sums[:-SEED]) * inverse[: n - SEED + 1]), 1
+        while width < RUN - SEED + 1:  # minima of windows, by doubling
+            step = min(width, RUN - SEED + 1 - width)
+            least, width = np.minimum(least[:-step], least[step:]), width + step
+        first = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(least[1:] != least[:-1]) + 1])
+        many = np.diff(first, append=len(least))
+        whole = _mix((sums[first + many + RUN - 1] - sums[first]) * inverse[first] + many.astype(np.uint64))
+
+        def runs(i: int) -> np.ndarray:
+            at = np.arange(first[i], first[i] + many[i])
+            return _mix((sums[at + RUN] - sums[at]) * inverse[at] + np.uint64(1)).view(np.int64)
+
+        return least[first].view(np.int64), whole.view(np.int64), first, many, runs
+
+
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    runs = Runs()
+    for batch in batches:
+        keys, seeds, wholes = [], [], []
+        for key, text in zip(batch.column("dk").to_pylist(), batch.column("text")):
+            if got := runs(text.as_py()):
+                keys.append(np.full(len(got[0]), key))
+                seeds.append(got[0])
+                wholes.append(got[1])
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, seeds, wholes)], names=["dk", "seed", "whole"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    finder = Runs()
+    for batch in batches:
+        rows, run, pos, many = [], [], [], []
+        for i, (text, alike, mixed) in enumerate(zip(batch.column("text"), batch.column("alike"), batch.column("mixed"))):
+            seeds, whole, first, number, runs = finder(text.as_py())
+            at = np.flatnonzero(np.isin(seeds, alike.values.to_numpy()))
+            parts = np.flatnonzero(np.isin(seeds, mixed.values.to_numpy()))
+            run += [whole[at], *map(runs, parts)]
+            pos += [first[at], *(np.arange(first[j], first[j] + number[j]) for j in parts)]
+            single = int(number[parts].sum())
+            many += [number[at], np.ones(single, np.int64)]
+            rows.append(np.full(len(at) + single, i))
+        if rows:
+            own = [batch.column(c).take(pa.array(np.concatenate(rows))) for c in ("doc_id", "th")]
+            own += [pa.array(np.concatenate(run)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (pos, many))]
+            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "th", "run", "pos", "many"])
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """The longest stretches of runs that two or more documents share: doc_id, th, place of the first
+    word (start), n_words, the same of the first document that has it (group_doc_id, group_start),
+    the number of places of its most frequent run (group_size) and ``kept``."""
+    small_batches(docs.sparkSession, 1000)
+    keyed = docs.select("doc_id", row_hash().alias("th"), "text").withColumn("dk", F.xxhash64("doc_id", "th", F.col("doc_id").isNull()))
+    seeds = materialise(keyed.select("dk", "text").mapInArrow(_seeds, "dk long, seed long, whole long"), "passage-seeds")
+    # where all stretches of a shingle are the same words they go on as one, else run by run
+    shared = seeds.groupBy("seed").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("dk", "whole") for f in (F.min, F.max)])
+    shared = shared.where("min_dk != max_dk").select("seed", (F.col("min_whole") == F.col("max_whole")).alias("_alike"))
+    lists = [F.collect_set(F.when(c, F.col("seed"))).alias(n) for c, n in ((F.col("_alike"), "alike"), (~F.col("_alike"), "mixed"))]
+    wanted = materialise(seeds.select("dk", "seed").join(shared, "seed").groupBy("dk").agg(*lists), "passage-wanted")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    found = keyed.join(wanted, "dk").select("doc_id", "th", "text", "alike", "mixed")
+    found = materialise(found.mapInArrow(_candidates, f"doc_id {id_type}, th long, run long, pos int, many int"), "passage-runs")
+    forget(seeds, wanted)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("id_null"), "doc_id", "th", "pos"))
+    most = F.max(F.struct(F.col("doc_id").isNull().alias("id_null"), "doc_id", "th"))
+    groups = found.groupBy("run").agg(least.alias("first"), most.alias("last"), F.count(F.lit(1)).alias("size"))
+    groups = groups.where(~(F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("first.th") == F.col("last.th"))))
+    groups = groups.select("run", F.col("first.doc_id").alias("group_doc_id"), F.col("first.th").alias("group_th"), F.col("first.pos").alias("_at"), "size")
+    places = found.join(groups, "run").withColumn("shift", F.col("pos") - F.col("_at")).withColumn("end", F.col("pos") + F.col("many")).drop("run", "_at", "many")
+    doc = ["doc_id", "th", "group_doc_id", "group_th", "shift"]
+    before = Window.partitionBy(*doc).orderBy("pos")
+    reached = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    places = places.withColumn("_new", F.coalesce(F.col("pos") > reached, F.lit(True)).cast("int"))
+    places = places.withColumn("_island", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    got = places.groupBy(*doc, "_island").agg(F.min("pos").alias("start"), (F.max("end") - 1).alias("end"), F.max("size").alias("group_size"))
+    kept = F.col("doc_id").eqNullSafe(F.col("group_doc_id")) & (F.col("th") == F.col("group_th"))
+    return got.select(
+        "doc_id",
+        "th",
+        F.col("start").cast("long").alias("start"),
+        (F.col("end") - F.col("start") + RUN).cast("long").alias("n_words"),
+        "group_doc_id",
+        (F.col("start") - F.col("shift")).cast("long").alias("group_start"),
+        "group_size",
+        (kept & (F.col("shift") == 0)).alias("kept"),
+    )

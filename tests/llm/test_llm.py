@@ -328,6 +328,47 @@ def test_paragraphs(spark):
     assert paragraphs.tuned().missed(0.8) <= paragraphs.MISS
 
 
+def brute_passages(rows):
+    """Places of the RUN-word runs that stand in two or more documents, by document."""
+    held = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        for p in range(len(w) - paragraphs.RUN + 1):
+            held.setdefault(tuple(w[p : p + paragraphs.RUN]), []).append((i, p))
+    out = {}
+    for at in held.values():
+        if len({i for i, _ in at}) > 1:
+            for i, p in at:
+                out[i, p] = min(at)
+    return out
+
+
+def found_passages(spark, rows):
+    """Rows by document, and each place they cover with the place that it is a copy of."""
+    got = paragraphs.passages(docs(spark, rows)).collect()
+    cover = {}
+    for r in got:
+        assert r.kept == ((r.doc_id, r.start) == (r.group_doc_id, r.group_start))
+        for p in range(r.n_words - paragraphs.RUN + 1):
+            assert (r.doc_id, r.start + p) not in cover
+            cover[r.doc_id, r.start + p] = (r.group_doc_id, r.group_start + p)
+    return got, cover
+
+
+def test_passages_over_line_breaks(spark):
+    rng = random.Random(12)
+    w = prose(rng, 60).split()
+    broken = "\n".join(" ".join(w[i : i + 20]) for i in (0, 20, 40))
+    rows = [(1, f"{prose(rng, 9)}\n{broken}\n{prose(rng, 30)}"), (2, f"{prose(rng, 30)}\n{' '.join(w[:33])}\n\n{' '.join(w[33:]).upper()}"), (3, prose(rng, 200))]
+    assert paragraphs.repeats(docs(spark, rows)).count() == 0
+    got, cover = found_passages(spark, rows)
+    assert sorted((r.doc_id, r.start, r.n_words, r.group_doc_id, r.group_start, r.group_size, r.kept) for r in got) == [(1, 9, 60, 1, 9, 2, True), (2, 30, 60, 1, 9, 2, False)]
+    rows += [(i, f"{prose(rng, rng.randrange(40))}\n{broken}") for i in range(4, 24)] + [(30, rows[2][1]), (31, "y " * 300), (32, "y " * 90), (33, None), (34, "")]
+    assert found_passages(spark, rows)[1] == brute_passages(rows)
+    assert paragraphs.passages(docs(spark, edge_rows())).count() == 0
+    assert paragraphs.passages(docs(spark, [])).count() == 0
+
+
 # --- 1, 2, 3
 
 
