@@ -369,6 +369,16 @@ def test_passages_over_line_breaks(spark):
     assert paragraphs.passages(docs(spark, [])).count() == 0
 
 
+def test_passages_inside_long_lines(spark):
+    rng = random.Random(13)
+    w = prose(rng, 55)
+    rows = [(1, f"{prose(rng, 90)} {w} {prose(rng, 70)}"), (2, f"{prose(rng, 20)} {w} {prose(rng, 200)}"), (3, prose(rng, 300))]
+    rows += [(i, f"{prose(rng, rng.randrange(60))} {' '.join(w.split()[: rng.randrange(45, 56)])} {prose(rng, 60)}") for i in range(4, 20)]
+    assert paragraphs.repeats(docs(spark, rows)).where("doc_id <= 3").count() == 0
+    cover = found_passages(spark, rows)[1]
+    assert {(1, 90), (2, 20)} <= set(cover) and cover == brute_passages(rows)
+
+
 # --- 1, 2, 3
 
 
