@@ -241,7 +241,8 @@ def similarity(paragraph: str, name: str) -> float:
     return max(max(len(own & t) / len(t), len(own & t) / len(own)) for t in _template_grams()[name])
 
 
-#: A paragraph without one of these strings has no licence (fixed values; every template has one).
+#: A paragraph with one of these strings is scored as it is (fixed values; every template has one);
+#: any other is scored if it shares a word 3-gram with a written notice (``noticed``).
 CUES = ("licen", "copyright", "permission", "permitted", "redistribut", "public domain", "spdx", "warranty", "rights")
 
 
@@ -250,15 +251,25 @@ def cued(text: str) -> bool:
     return any(cue in text for cue in CUES)
 
 
+@functools.cache
+def _notice_grams() -> frozenset[tuple[str, ...]]:
+    lines = "\n".join([*TEMPLATES.values(), FOREIGN]).split("\n")
+    return frozenset().union(*(_trigrams(words(line)) for line in lines))
+
+
+def noticed(paragraph: str) -> bool:
+    """Whether a word 3-gram of the paragraph stands in a written notice. Single words do not count:
+    "mit" alone is German, and the classifier takes lines with few known words for notices."""
+    return not _notice_grams().isdisjoint(_trigrams(words(paragraph)))
+
+
 def scan(text: str | None, model: Model) -> tuple[int, list[tuple[int, int, int, str, float, float, bool]]]:
     """Paragraphs, and (paragraph, start, length, family, score, similarity, confirmed) of those with a licence."""
     paragraphs = (text or "").split("\n")
     found, start = [], 0
-    if not cued(text or ""):
-        return len(paragraphs), found
     picked, rows = [], []
     for i, paragraph in enumerate(paragraphs):
-        if cued(paragraph):
+        if cued(paragraph) or noticed(paragraph):
             picked.append((i, start, paragraph))
             rows.append(grams(word_ids(paragraph)))
         start += len(paragraph) + 1

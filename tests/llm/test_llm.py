@@ -392,6 +392,23 @@ def test_license(spark):
     assert license.scan_documents(docs(spark, [])).count() == 0
 
 
+def test_license_without_cue():
+    model = license.fit()
+    named = {"Creative Commons Attribution 4.0 International": "CC-BY", "CC BY-SA 4.0": "CC-BY-SA", "GNU General Public License": "GPL", "available under the GNU GPL v3": "unknown"}
+    wrapped = "You should have received a copy of the GNU Affero General Public\nsome other words"
+    for line, name in (named | {wrapped: "AGPL"}).items():
+        found = license.scan(f"words before\n{line}\nwords after", model)[1]
+        assert [(f[0], f[3]) for f in found] == [(1, name)], line
+    for line in ("Der Mann ging mit der Frau", "mit", "The.", "of the house on the hill", "the terms of the agreement are free"):
+        assert license.scan(line, model)[1] == [], line
+    rng, seen = np.random.default_rng(7), []
+    for text in license.TEMPLATES.values():
+        for line in text.split("\n"):
+            altered = [license._altered(rng, line) for _ in range(20)]
+            seen += [bool(license.scan(v, model)[1]) for v in altered if not license.cued(v)]
+    assert sum(seen) / len(seen) > 0.6
+
+
 def test_license_families():
     model, rng = license.fit(), np.random.default_rng(99)
     right = total = 0
