@@ -6,9 +6,10 @@ language and topic. A document is then drawn with a probability in proportion to
 cell's raked weight over the cell's tokens, scaled so that the expected tokens meet the
 budget with no probability over one, by a uniform number from a digest of its doc_id.
 
-The cell table is bounded: sources beyond ``MAX_LEVELS`` (by tokens), likewise languages,
-share one level. So it is raked in one partition by window sums, without shuffles, and
-broadcast; the documents themselves are not shuffled but for their sums by cell.
+Every level is raked by its own, however many there are. Up to ``CELLS_AT_ONCE`` cells are
+raked in one partition by window sums, without shuffles, and broadcast; the documents
+themselves are not shuffled but for their sums by cell. More cells are raked as a table, by
+sums and joins, and joined to the documents; the results are equal but for rounding.
 
 Defined results: null in source or lang is a level of its own; a null text has no tokens
 and joins its cell with its probability. A null doc_id draws by the text instead; repeated
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import WORD_RE, materialise
+from palaver.llm.common import WORD_RE, forget, materialise
 
 #: Rounds of raking, each over all three margins.
 ROUNDS = 12
@@ -32,8 +33,12 @@ CAP_ROUNDS = 6
 ALPHA = 0.7
 #: Expected share of the tokens that is drawn.
 BUDGET = 0.7
+#: Most cells that are raked in one partition and broadcast; a choice of plan.
+CELLS_AT_ONCE = 20_000
+#: Only the SQL that checks the query is bounded to so many levels of a margin.
 MAX_LEVELS = 256
 MARGINS = ("source", "lang", "topic")
+#: The SQL's name of the levels beyond.
 OTHER = "<other>"
 NONE = "<none>"
 _UNIT = 2.0**52
@@ -70,10 +75,10 @@ def _target(cells: DataFrame, margin: str, targets: dict[str, float] | None, def
     own = F.sum("tokens").over(Window.partitionBy(margin))
     if targets is None:
         return F.pow(own.cast("double"), F.lit(ALPHA))
-    named = F.lit(None).cast("double")
-    for level, weight in targets.items():
-        named = F.when(F.col(margin) == level, F.lit(float(weight))).otherwise(named)
-    return F.coalesce(named, F.lit(float(default)))
+    if not targets:
+        return F.lit(float(default))
+    named = F.map_from_arrays(F.array(*map(F.lit, targets)), F.array(*[F.lit(float(w)) for w in targets.values()]))
+    return F.coalesce(F.try_element_at(named, F.col(margin)), F.lit(float(default)))
 
 
 def rake(
@@ -111,6 +116,44 @@ def rake(
     return out.select(*MARGINS, "tokens", "weight", "p")
 
 
+def _rake_wide(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, rounds: int = ROUNDS, budget: float = BUDGET, default: float = 0.0) -> DataFrame:
+    """``rake`` for any number of cells: each margin's sums by groups, joined to the cells."""
+    targets = targets or {}
+    spark = cells.sparkSession
+    start = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
+    small = {}
+    for m in MARGINS:
+        levels = start.groupBy(m).agg(F.sum("tokens").cast("double").alias("_own"))
+        if targets.get(m) is None:
+            levels = levels.withColumn("_goal", F.pow("_own", F.lit(ALPHA)))
+        else:
+            named = spark.createDataFrame([(k, float(v)) for k, v in targets[m].items()], f"`{m}` string, _named double")
+            levels = levels.join(named, m, "left").withColumn("_goal", F.coalesce("_named", F.lit(float(default))))
+        number, total = levels.agg(F.count(F.lit(1)), F.sum("_goal")).first()
+        small[m] = number <= CELLS_AT_ONCE
+        share = levels.select(m, F.try_divide("_goal", F.lit(total).cast("double")).alias(f"_t_{m}"))
+        start = start.join(F.broadcast(share) if small[m] else share, m)
+    out = materialise(start, "mix-rake")
+    for _ in range(rounds):
+        new = out
+        for m in MARGINS:
+            held = new.groupBy(m).agg(F.sum("weight").alias("_held"))
+            new = new.join(F.broadcast(held) if small[m] else held, m)
+            new = new.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"_t_{m}"), F.col("_held")), F.lit(0.0))).drop("_held")
+        new = materialise(new, "mix-rake")
+        forget(out)
+        out = new
+    whole, tokens = out.agg(F.sum("weight"), F.sum("tokens")).first()
+    out = out.withColumn("weight", F.try_divide(F.col("weight"), F.lit(whole).cast("double"))).withColumn("p", F.lit(0.0))
+    for _ in range(CAP_ROUNDS):
+        full = F.col("p") >= 1.0
+        given, free = out.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        left = None if tokens is None else float(budget) * tokens - given
+        fair = F.try_divide(F.col("weight") * F.lit(left).cast("double"), F.lit(free).cast("double") * F.col("tokens"))
+        out = out.withColumn("p", F.when(full, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(fair, F.lit(0.0))))))
+    return materialise(out.select(*MARGINS, "tokens", "weight", "p"), "mix-raked")
+
+
 def _marked(docs: DataFrame, topic: str | None) -> DataFrame:
     """doc_id, text and _rest of ``docs``, with source, lang, topic and n_tokens as levels."""
     level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) if c in docs.columns else F.lit(NONE)
@@ -124,16 +167,10 @@ def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *
     """Every row of ``docs`` as ``_row``, with its levels, n_tokens, weight, p, draw and kept."""
     marked = _marked(docs, topic)
     cells = materialise(marked.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    levels = []
-    for m in ("source", "lang", "topic"):
-        sums = cells.groupBy(m).agg(F.sum("tokens").alias("t"))
-        levels.append(sums.orderBy(F.desc("t"), F.asc(m)).limit(MAX_LEVELS).select(F.col(m).alias(f"_{m}")))
-    merged = cells
-    for m, top in zip(MARGINS, levels):
-        merged = merged.join(F.broadcast(top), merged[m] == top[f"_{m}"], "left").withColumn(m, F.coalesce(f"_{m}", F.lit(OTHER))).drop(f"_{m}")
-        marked = marked.join(F.broadcast(top), marked[m] == top[f"_{m}"], "left").withColumn(m, F.coalesce(f"_{m}", F.lit(OTHER))).drop(f"_{m}")
-    merged = merged.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
-    raked = F.broadcast(rake(merged, targets, **options).drop("tokens"))
+    if cells.count() <= CELLS_AT_ONCE:
+        raked = F.broadcast(rake(cells, targets, **options).drop("tokens"))
+    else:
+        raked = _rake_wide(cells, targets, **options).drop("tokens")
     got = marked.join(raked, list(MARGINS), "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
     got = got.withColumn("draw", uniform(F.col("_row.doc_id"), F.col("_row.text"), seed))
     return got.withColumn("kept", F.col("draw") < F.col("p"))

@@ -136,6 +136,32 @@ def test_mixing(spark):
     assert mixing.sample(docs(spark, [])).count() == 0
 
 
+def test_mixing_many_levels(spark, monkeypatch):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 5 + i % 320 // 8), rng.choice(["en", "de"]), f"host{i % 320}") for i in range(6400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    # the smallest sources get half of the tokens
+    targets = {"source": {f"host{i}": 1 / 160 if i < 80 else 1 / 480 for i in range(320)}}
+    cells = lambda: {(r.source, r.lang, r.topic): (r.n, r.tokens, r.p) for r in mixing.weigh(d, targets, budget=0.05).groupBy(*mixing.MARGINS).agg(F.count("p").alias("n"), F.sum("n_tokens").alias("tokens"), F.max("p").alias("p")).collect()}
+    got = cells()
+    assert {s for s, _, _ in got} == {f"host{i}" for i in range(320)}
+    expected = sum(t * p for _, t, p in got.values())
+    for i in (0, 7, 79, 80, 319):
+        share = sum(t * p for (s, _, _), (_, t, p) in got.items() if s == f"host{i}") / expected
+        assert share == pytest.approx(targets["source"][f"host{i}"], rel=0.02)
+    monkeypatch.setattr(mixing, "CELLS_AT_ONCE", 8)
+    wide = cells()
+    assert wide.keys() == got.keys()
+    for k, (n, tokens, p) in got.items():
+        assert wide[k][:2] == (n, tokens) and wide[k][2] == pytest.approx(p, rel=1e-9)
+    for t in (None, {"source": {"nowhere": 1.0}}):
+        few = [mixing.weigh(docs(spark, edge_rows()), t).groupBy("source").agg(F.sum("p").alias("p")).collect()]
+        monkeypatch.setattr(mixing, "CELLS_AT_ONCE", 0)
+        few.append(mixing.weigh(docs(spark, edge_rows()), t).groupBy("source").agg(F.sum("p").alias("p")).collect())
+        monkeypatch.setattr(mixing, "CELLS_AT_ONCE", 100)
+        assert few[1][0].p == pytest.approx(few[0][0].p)
+
+
 # --- 7
 
 
