@@ -262,6 +262,17 @@ def redact_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2(text.redact(made), 256).alias("redacted_sha"))
 
 
+@query(ORACLE["redact_identifiers"].replace("substr(text, 1, 60)", "text"))
+def redact_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``redact_identifiers`` over the whole text, not its first 60 characters."""
+    n = F.col("doc_id").cast("string")
+    made = F.concat(
+        F.lit("see https://www.reddit.com/r/pics/comments/ab"), n, F.lit("/x and https://redd.it/z"), n, F.lit(" by /u/user_"), n,
+        F.lit(" or https://old.reddit.com/user/u"), n, F.lit(" (https://i.reddit.com/q) t1_abc"), n, F.lit("xyz "), "text",
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.redact(made), 256).alias("redacted_sha"))
+
+
 @query("""SELECT doc_id, sha256(regexp_replace(chr(1) || text || chr(11) || 'x', '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) AS clean_sha FROM documents""")
 def sanitize_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(F.lit("\x01"), "text", F.lit("\x0bx"))

@@ -32,3 +32,12 @@ def test_query(spark, con, name):
         want = con.execute(catalogue.ORACLE[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def test_redacts_behind_the_first_characters(spark, tmp_path):
+    late = "plain words " * 20 + "by /u/some_name and https://redd.it/zz9"
+    texts = [late, late.replace("some_name", "other_name").replace("zz9", "yy8")]
+    for i, t in enumerate(texts):
+        spark.createDataFrame([(7, t)], "doc_id long, text string").write.parquet(f"{tmp_path}/{i}/documents.parquet")
+    a, b = (catalogue.QUERIES["redact_whole_texts"](spark, f"{tmp_path}/{i}").first().redacted_sha for i in (0, 1))
+    assert a == b
