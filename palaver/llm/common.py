@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: space and U+0009..U+000D.
@@ -16,37 +18,65 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Where it is unset (tests on one
-    machine) a temporary folder is set, once for the session.
+    The setting is read from the session. Where it is unset, a session on one machine gets
+    a temporary folder, once; a cluster session raises, for its executors would each write
+    to a disk of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="palaver-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
+#: What ``materialise`` wrote and ``forget`` did not delete, by application.
+_WRITTEN: dict[str, set[str]] = defaultdict(set)
+#: Aimed-at size of a written file where a bound of the rows is known.
+FILE_BYTES = 16 << 20
+
+
+def materialise(df: DataFrame, label: str, *, rows: int | None = None, width: int = 64) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    ``rows`` is an upper bound of the rows, ``width`` their bytes: a table that must be small
+    is written by few tasks, however many partitions it was shuffled to, so that small tables
+    do not cost thousands of files. The result's ``_palaver_rows`` has the rows written (no
+    fewer than that where tasks were run again). The files stay until ``forget`` or ``release``.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    counted = Observation()
+    out = df if rows is None else df.coalesce(max(1, -(-rows * width // FILE_BYTES)))
+    out.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    _WRITTEN[spark.sparkContext.applicationId].add(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._palaver_path = path
+    out._palaver_path, out._palaver_rows = path, counted.get["n"]
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _WRITTEN[spark.sparkContext.applicationId].discard(path)
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete what ``materialise`` wrote; only for frames no later plan reads."""
     for df in frames:
-        path = getattr(df, "_palaver_path", None)
-        if path:
-            spark = df.sparkSession
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        if path := getattr(df, "_palaver_path", None):
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that is left of ``materialise``'s files in this application.
+
+    Operators return lazy frames that read such files, so the caller calls this, after the
+    results are written.
+    """
+    for path in list(_WRITTEN[spark.sparkContext.applicationId]):
+        _delete(spark, path)
 
 
 def row_hash(text: str | Column = "text") -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm.common import forget, materialise
 
+#: Rounds after which an error is raised (nothing is lost); they grow with the logarithm of the nodes.
 MAX_ROUNDS = 60
 
 
@@ -36,14 +37,18 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), *seeds).first())
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, comp): every node of a link with the least node that it reaches."""
-    least, most = F.least(a, b).alias("v"), F.greatest(a, b).alias("u")
-    edges = links.where(F.col(a) != F.col(b)).select(most, least).groupBy("u", "v").agg(F.lit(1).alias("_one"))
-    edges = materialise(edges.select("u", "v"), "cc-edges")
+def components(links: DataFrame, a: str = "a", b: str = "b", *, most: int | None = None) -> DataFrame:
+    """(node, comp): every node of a link with the least node that it reaches.
+
+    ``most``: an upper bound of the links, where known. A round turns edges into no more
+    than twice as many.
+    """
+    least, most_node = F.least(a, b).alias("v"), F.greatest(a, b).alias("u")
+    edges = links.where(F.col(a) != F.col(b)).select(most_node, least).groupBy("u", "v").agg(F.lit(1).alias("_one"))
+    edges = materialise(edges.select("u", "v"), "cc-edges", rows=most)
     before = _state(edges)
     for _ in range(MAX_ROUNDS):
-        new = materialise(_star(_star(edges, True), False), "cc-edges")
+        new = materialise(_star(_star(edges, True), False), "cc-edges", rows=2 * before[0])
         now = _state(new)
         forget(edges)
         edges = new

@@ -43,8 +43,9 @@ from pyspark.sql import functions as F
 from palaver.llm.common import forget, materialise, row_hash, small_batches
 from palaver.llm.components import components
 
-#: Most rows of a chosen table that are broadcast (24 bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 300_000
+#: Most rows of a chosen table that are broadcast: measured at 190 bytes a row (node, key columns
+#: and the hash table), 38 MB at most; beyond, the join shuffles. Results are equal.
+BROADCAST_ROWS = 200_000
 #: Agreements are counted on so many 16-bit hashes, in batches of so many.
 SIGNATURE, BATCH = 128, 16
 #: Chosen miss probability of a Bayesian prune.
@@ -55,7 +56,10 @@ PERCENT = 80
 STAR_PERCENT = 55
 #: Geometric width of the size classes that outsiders are matched by.
 SIZE_STEP = 1.03
-_WORDS_KEPT = 400_000
+#: Hashes of words that a task keeps (about 150 bytes each).
+_WORDS_KEPT = 200_000
+#: Shingles of a block of texts that are sketched together.
+_BLOCK = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -86,26 +90,54 @@ class Shingler:
         self.k = k
         self.known: dict[bytes, int] = {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
+    def words(self, text: str | bytes | None) -> np.ndarray:
+        """Hashes of the words, in order."""
+        raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+        words = raw.lower().split()
         known = self.known
-        if len(known) > _WORDS_KEPT:
-            known.clear()
         try:
-            ids = [known[w] for w in words]
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
+            if len(known) > _WORDS_KEPT:
+                known.clear()
             for w in words:
                 if w not in known:
                     known[w] = xxhash.xxh64_intdigest(w, 7)
-            ids = [known[w] for w in words]
-        h = np.array(ids, np.uint64)
-        k = min(self.k, len(words))
-        out = np.full(len(h) - k + 1, np.uint64(k), np.uint64)
-        for i in range(k):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-        return np.unique(out)
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def __call__(self, text: str | bytes | None) -> np.ndarray:
+        h = self.words(text)
+        return np.unique(_shingles(h, min(self.k, len(h)))) if len(h) else h
+
+    def many(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
+        """The same of each text, for many short texts at once."""
+        ids = [self.words(t) for t in texts]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        out = [np.unique(_shingles(h, len(h))) if 0 < len(h) < self.k else h[:0] for h in ids]
+        long = np.flatnonzero(size >= self.k)
+        if len(long):
+            h = np.concatenate([ids[i] for i in long])
+            size = size[long]
+            of = np.repeat(np.arange(len(long)), size)
+            hashes = _shingles(h, self.k)
+            inside = of[: len(hashes)] == of[self.k - 1 :]
+            of, hashes = of[: len(hashes)][inside], hashes[inside]
+            order = np.lexsort((hashes, of))
+            of, hashes = of[order], hashes[order]
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])
+            of, hashes = of[new], hashes[new]
+            for i, part in zip(long, np.split(hashes, np.searchsorted(of, np.arange(1, len(long))))):
+                out[i] = part
+        return out
+
+
+def _shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k of the hashes ``h``."""
+    out = np.full(len(h) - k + 1, np.uint64(k), np.uint64)
+    for i in range(k):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
+    return out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -121,25 +153,30 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     return multiply, rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def minhashes(hashes: np.ndarray, n: int) -> np.ndarray:
+def minhashes(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """[set, permutation]: the minima of each set (none is empty)."""
     multiply, flip = _constants(n)
-    low = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.full(n, 2**32 - 1, np.uint32)
-    for at in range(0, len(low), 1024):
-        np.minimum(out, ((low[at : at + 1024, None] ^ flip) * multiply).min(axis=0), out=out)
-    return out
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    low = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+    start = np.cumsum(size) - size
+    out = np.empty((n, len(sets)), np.uint32)
+    for j in range(n):
+        np.minimum.reduceat((low ^ flip[j]) * multiply[j], start, out=out[j])
+    return np.ascontiguousarray(out.T)
 
 
 def band_keys(mins: np.ndarray, banding: Banding) -> np.ndarray:
-    key = np.arange(banding.bands, dtype=np.uint64) + np.uint64(1)
-    by_band = mins.reshape(banding.bands, banding.rows).astype(np.uint64)
+    """[set, band]"""
+    by_band = mins.reshape(len(mins), banding.bands, banding.rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(banding.bands, dtype=np.uint64) + np.uint64(1), by_band.shape[:2])
     for r in range(banding.rows):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + by_band[:, r])
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + by_band[:, :, r])
     return key.view(np.int64)
 
 
-def signature(mins: np.ndarray) -> bytes:
-    return (mins[:SIGNATURE] * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16).tobytes()
+def signatures(mins: np.ndarray) -> list[bytes]:
+    short = (mins[:, :SIGNATURE] * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
+    return [row.tobytes() for row in short]
 
 
 @functools.cache
@@ -178,37 +215,50 @@ def _batched(arrays: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, schema)], schema=schema)
 
 
+def _blocks(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of the sets that are not empty, in blocks of about ``_BLOCK`` elements."""
+    full = np.flatnonzero(sizes)
+    block = (np.cumsum(sizes[full]) - 1) // _BLOCK
+    yield from np.split(full, np.flatnonzero(np.diff(block)) + 1) if len(full) else ()
+
+
+def sketched(sets: list[np.ndarray], banding: Banding) -> list[pa.Array]:
+    """Columns n, node, bands and sig of the sets."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    node = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
+    bands, sig = np.zeros((len(sets), banding.bands), np.int64), [None] * len(sets)
+    for at in _blocks(size):
+        mins = minhashes([sets[i] for i in at], banding.rows * banding.bands)
+        bands[at] = band_keys(mins, banding)
+        if banding.prune:
+            for i, row in zip(at, signatures(mins)):
+                sig[i] = row
+    ends = np.concatenate([[0], np.cumsum(np.where(size > 0, banding.bands, 0))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[size > 0].ravel()))
+    return [pa.array(size), pa.array(node, pa.binary()), lists, pa.array(sig, pa.binary())]
+
+
+SKETCH = "n long, node binary, bands array<long>, sig binary"
+
+
 def sketches(items: DataFrame, k: int, banding: Banding) -> DataFrame:
     """items (text and others): the others with n (size of the set), node, bands and sig.
 
-    Empty sets have a null node.
+    Empty sets have a null node and no bands.
     """
     others = [f for f in items.schema if f.name != "text"]
     small_batches(items.sparkSession, 1000)
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(k)
         for batch in batches:
-            n, node, bands, sig = [], [], [], []
-            for text in batch.column("text"):
-                h = shingles(text.as_py())
-                n.append(len(h))
-                if len(h):
-                    mins = minhashes(h, banding.rows * banding.bands)
-                    node.append(xxhash.xxh3_128_digest(h.tobytes()))
-                    bands.append(band_keys(mins, banding))
-                    sig.append(signature(mins) if banding.prune else None)
-                else:
-                    node.append(None)
-                    bands.append(None)
-                    sig.append(None)
-            got = [batch.column(f.name) for f in others]
-            got += [pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+            sets = [shingles(text.as_py()) for text in batch.column("text")]
+            got = [batch.column(f.name) for f in others] + sketched(sets, banding)
             yield pa.RecordBatch.from_arrays(got, names=[f.name for f in others] + ["n", "node", "bands", "sig"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     order = items.select(*[f"`{f.name}`" for f in others], "text")
-    return order.mapInArrow(sketched, f"{ddl}, n long, node binary, bands array<long>, sig binary")
+    return order.mapInArrow(run, f"{ddl}, {SKETCH}")
 
 
 def _plausible_pairs(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
@@ -260,9 +310,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _sets(items: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, key: list[str]) -> DataFrame:
     """(node, hashes) of ``nodes``: the full sets, from one item's text each."""
     chosen = rows.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*key)).alias("_one"))
-    chosen = materialise(chosen, "near-chosen").select("node", *[F.col(f"_one.`{c}`").alias(f"_{c}") for c in key])
+    chosen = materialise(chosen, "near-chosen")
+    few = chosen._palaver_rows <= BROADCAST_ROWS
+    chosen = chosen.select("node", *[F.col(f"_one.`{c}`").alias(f"_{c}") for c in key])
     by = functools.reduce(lambda x, y: x & y, [items[c].eqNullSafe(chosen[f"_{c}"]) for c in key])
-    if chosen.count() <= BROADCAST_ROWS:
+    if few:
         chosen = F.broadcast(chosen)
     texts = items.join(chosen, by).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
     return texts.mapInArrow(_hashed(k), "node binary, hashes binary")
@@ -287,46 +339,58 @@ def _size_class(n: Column) -> Column:
 
 
 def near_groups(
-    items: DataFrame, key: list[str], k: int, percent: int = PERCENT, banding: Banding = DOCUMENTS
+    items: DataFrame, key: list[str], k: int, percent: int = PERCENT, banding: Banding = DOCUMENTS, sketch: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """items: (*key, text), equal keys having equal texts.
+    """items: (*key, text), equal keys having equal texts; ``sketch``: their ``sketches``, if
+    already made (``items`` may then have other rows besides).
 
-    Returns the sketched rows (*key, n, node) and (node, comp) of the linked nodes.
+    Returns the sketched rows (*key, n, node) and (node, comp) of the linked nodes. The first
+    has ``_palaver_rows``, the number of rows.
     """
-    rows = materialise(sketches(items, k, banding), "near-sketch")
+    rows = materialise(sketch if sketch is not None else sketches(items, k, banding), "near-sketch")
+    number = rows._palaver_rows
     full = rows.where("node is not null")
-    nodes = materialise(full.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-nodes")
+    nodes = full.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes, "near-nodes", rows=number, width=300 + 8 * banding.bands)
     sigs = nodes.select("node", "sig")
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialise(placed.join(sizes, "bucket"), "near-shared")
+    shared = materialise(placed.join(sizes, "bucket"), "near-shared", rows=nodes._palaver_rows * banding.bands, width=32)
     degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
     chief = F.max(F.struct("degree", "node"))["node"].alias("a")
     leaders = shared.join(degree, "node").groupBy("bucket").agg(chief)
     met = shared.join(leaders, "bucket").where("node != a").select("a", F.col("node").alias("b"))
-    met = materialise(met.groupBy("a", "b").agg(F.lit(1).alias("_one")).select("a", "b"), "near-met")
+    met = materialise(met.groupBy("a", "b").agg(F.lit(1).alias("_one")).select("a", "b"), "near-met", rows=shared._palaver_rows, width=32)
+    forget(shared)
 
-    star = materialise(_plausible_pairs(met, sigs, min(STAR_PERCENT, percent)), "near-star") if banding.prune else met
+    star = met
+    if banding.prune:
+        star = materialise(_plausible_pairs(met, sigs, min(STAR_PERCENT, percent)), "near-star", rows=met._palaver_rows, width=32)
+    pairs = star._palaver_rows
     needed = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
-    sets = materialise(_sets(items, rows.select(*key, "node"), needed, k, key), "near-sets")
-    seen = materialise(_verified(star, sets), "near-seen")
+    sets = materialise(_sets(items, rows.select(*key, "node"), needed, k, key), "near-sets", rows=min(2 * pairs, nodes._palaver_rows), width=4000)
+    seen = materialise(_verified(star, sets), "near-seen", rows=pairs, width=1000)
     links = seen.where(_linked(F.col("n_a"), F.col("n_b"), F.col("overlap"), percent)).select("a", "b")
-    first = materialise(components(links), "near-first")
+    first = materialise(components(links, most=pairs), "near-first", rows=2 * pairs)
 
     more = _outsider_pairs(met, seen, first, nodes.select("node", "n"), percent)
-    pairs = materialise(_plausible_pairs(more, sigs, percent) if banding.prune else more, "near-more")
-    if not pairs.isEmpty():
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        lacking = materialise(ends.join(sets.select("node"), "node", "left_anti"), "near-lacking")
-        if not lacking.isEmpty():
-            sets = sets.unionByName(_sets(items, rows.select(*key, "node"), lacking, k, key))
-        late = _verified(pairs, sets).where(_linked(F.col("n_a"), F.col("n_b"), F.col("overlap"), percent)).select("a", "b")
-        all_links = first.where("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(late)
-        found = materialise(components(all_links), "near-comps")
-    else:
-        found = first
-    forget(met, shared, star, seen, nodes)
-    return rows.select(*key, "n", "node"), found
+    late = materialise(_plausible_pairs(more, sigs, percent) if banding.prune else more, "near-more")
+    found = first
+    if late._palaver_rows:
+        ends = late.select(F.col("a").alias("node")).unionByName(late.select(F.col("b").alias("node"))).distinct()
+        lacking = materialise(ends.join(sets.select("node"), "node", "left_anti"), "near-lacking", rows=2 * late._palaver_rows, width=32)
+        every = sets
+        if lacking._palaver_rows:
+            every = sets.unionByName(_sets(items, rows.select(*key, "node"), lacking, k, key))
+        linked = _verified(late, every).where(_linked(F.col("n_a"), F.col("n_b"), F.col("overlap"), percent)).select("a", "b")
+        most = first._palaver_rows + late._palaver_rows
+        all_links = first.where("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(linked)
+        found = materialise(components(all_links, most=most), "near-comps", rows=2 * most)
+        forget(lacking, first)
+    forget(met, star, sets, seen, nodes, late, more._palaver_members)
+    out = rows.select(*key, "n", "node")
+    out._palaver_rows = number
+    return out, found
 
 
 def _outsider_pairs(met: DataFrame, seen: DataFrame, comps: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -338,9 +402,11 @@ def _outsider_pairs(met: DataFrame, seen: DataFrame, comps: DataFrame, sizes: Da
     groups = members.groupBy("a").agg(F.max("out").alias("open"), F.count(F.lit(1)).alias("size")).where("open and size > 1")
     members = members.select("a", "b", "comp", "out").join(groups.select("a"), "a", "left_semi")
     members = members.join(seen, ["a", "b"], "left").join(sizes.select(F.col("node").alias("b"), "n"), "b")
-    members = materialise(members, "near-members")
+    members = materialise(members, "near-members", rows=met._palaver_rows, width=400)
     pairs = _by_difference(members.where("overlap is not null"), percent).unionByName(_by_size(members, percent))
-    return pairs.groupBy("a", "b").agg(F.lit(1).alias("_one")).select("a", "b")
+    out = pairs.groupBy("a", "b").agg(F.lit(1).alias("_one")).select("a", "b")
+    out._palaver_members = members  # for ``forget``
+    return out
 
 
 def _by_difference(near: DataFrame, percent: int) -> DataFrame:
@@ -393,28 +459,36 @@ def _by_size(members: DataFrame, percent: int) -> DataFrame:
 def label(rows: DataFrame, comps: DataFrame, order: list[str]) -> DataFrame:
     """rows (..., node) with ``first``: the least struct of ``order`` in the row's group.
 
-    A row without a node is its own group.
+    A row without a node is its own group. The firsts are written before they are joined, so
+    that both sides of each join are plain shuffles, in which a hot group can be split.
     """
     alone = F.struct(*order)
     marked = rows.join(comps.select("node", F.col("comp").alias("_c")), "node", "left")
     marked = marked.withColumn("comp", F.coalesce("_c", "node")).drop("_c")
-    least = marked.where("comp is not null").groupBy("comp").agg(F.min(alone).alias("_least"))
-    return marked.join(least, "comp", "left").withColumn("first", F.coalesce("_least", alone)).drop("_least")
+    least = marked.where("comp is not null").groupBy("comp").agg(F.min(alone).alias("_least"), F.count(F.lit(1)).alias("_size"))
+    least = materialise(least.where("_size > 1"), "near-least", rows=getattr(rows, "_palaver_rows", None))
+    joined = marked.join(least, "comp", "left").withColumn("first", F.coalesce("_least", alone))
+    return joined.withColumn("group_size", F.coalesce("_size", F.lit(1))).drop("_least", "_size")
 
 
 def near_documents(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, component_id and kept, a row per distinct (doc_id, text).
+    """doc_id, th (hash of the text), n_shingles, component_id and kept, one for each row of ``docs``.
 
-    The first of a group is the smallest doc_id (a null id last, then the smaller th); it is
-    kept. Texts without words are linked with nothing.
+    Repeated rows (equal doc_id and text) give equal rows. The first of a group is the smallest
+    doc_id (a null id last, then the smaller th); it is kept. Null and empty texts, and texts
+    without words, are linked with nothing. An empty table gives no row.
     """
     items = docs.select("doc_id", row_hash().alias("th"), "text")
     rows, comps = near_groups(items, ["doc_id", "th"], k, percent)
+    number = rows._palaver_rows
     rows = rows.withColumn("id_null", F.col("doc_id").isNull())
+    rows._palaver_rows = number
     got = label(rows, comps, ["id_null", "doc_id", "th"])
     # the contract's kept: the row's id is its component's; for null ids the text's hash decides
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_id").isNotNull() | (F.col("th") == F.col("first.th")))
-    return got.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
+    got = got.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
+    got._palaver_rows = number
+    return got
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -423,13 +497,14 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame
     Of repeated rows (equal doc_id and text) one stays.
     """
     names = docs.columns
-    found = materialise(near_documents(docs, k, percent).select("doc_id", "th", "kept"), "near-kept")
+    found = near_documents(docs, k, percent)
+    number = found._palaver_rows
     keyed = found.groupBy("doc_id", "th").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
-    keyed = materialise(keyed.where("not kept or copies > 1"), "near-gone")
+    keyed = materialise(keyed.where("not kept or copies > 1"), "near-gone", rows=number)
     gone = keyed.where("not kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_h"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     packed = packed.withColumn("_id2", F.col("_row.doc_id")).withColumn("_h2", row_hash(F.col("_row.text")))
-    if gone.count() <= BROADCAST_ROWS:
+    if keyed._palaver_rows <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     kept = packed.join(gone, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_h2") == F.col("_h")), "left_anti")
     if not keyed.where("kept").isEmpty():

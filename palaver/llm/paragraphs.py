@@ -25,12 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import WORD_RE, forget, materialise, row_hash, small_batches
-from palaver.llm.neardup import PERCENT, Banding, _mix, label, near_groups
+from palaver.llm.common import forget, materialise, row_hash, small_batches
+from palaver.llm.neardup import PERCENT, SKETCH, Banding, Shingler, _mix, label, near_groups, sketched
 
 MIN_WORDS = 40
 SHINGLE = 5
@@ -39,7 +38,8 @@ MISS = 1e-4
 #: Words of a run that counts as a passage, and of the shingles that it is found by.
 RUN, SEED = 50, 25
 _BASE = 0x9E3779B97F4A7C15
-_WORDS_KEPT = 400_000
+#: Paragraphs that are sketched together.
+_TOGETHER = 256
 
 
 def tuned(percent: int = PERCENT, rows: int = 3, miss: float = MISS) -> Banding:
@@ -50,26 +50,55 @@ def tuned(percent: int = PERCENT, rows: int = 3, miss: float = MISS) -> Banding:
     return Banding(rows, bands, prune=False)
 
 
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, pos, text) of the paragraphs with enough words."""
-    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line")
-    got = docs.select("doc_id", row_hash().alias("th"), lines)
-    enough = F.regexp_count("line", F.lit(WORD_RE)) >= min_words
-    return got.where(enough).select("doc_id", "th", "pos", F.col("line").alias("text"))
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, pos, text) of all paragraphs."""
+    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "text")
+    return docs.select("doc_id", row_hash().alias("th"), lines)
+
+
+def paragraph_sketches(docs: DataFrame, min_words: int, banding: Banding) -> DataFrame:
+    """(doc_id, th, pos, n, node, bands, sig) of the paragraphs with enough words."""
+    small_batches(docs.sparkSession, 1000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(SHINGLE)
+        names = ["doc_id", "th", "pos", "n", "node", "bands", "sig"]
+
+        def made(batch: pa.RecordBatch, row: list[int], pos: list[int], held: list[bytes]) -> pa.RecordBatch:
+            own = [batch.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "th")]
+            return pa.RecordBatch.from_arrays([*own, pa.array(pos, pa.int32()), *sketched(shingles.many(held), banding)], names=names)
+
+        for batch in batches:
+            row, pos, held = [], [], []
+            for i, text in enumerate(batch.column("text")):
+                for j, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")):
+                    if len(line) >= 2 * min_words - 1 and len(line.split()) >= min_words:
+                        row.append(i)
+                        pos.append(j)
+                        held.append(line)
+                        if len(held) == _TOGETHER:
+                            yield made(batch, row, pos, held)
+                            row, pos, held = [], [], []
+            if held:
+                yield made(batch, row, pos, held)
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", row_hash().alias("th"), "text").mapInArrow(run, f"doc_id {id_type}, th long, pos int, {SKETCH}")
 
 
 def repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
     """Every paragraph that has a near copy: doc_id, th, paragraph, n_shingles, its group's first
     (group_doc_id, group_paragraph), the group's size and ``kept``."""
-    items = paragraphs(docs, min_words)
-    rows, comps = near_groups(items, ["doc_id", "th", "pos"], SHINGLE, percent, tuned(percent))
+    banding = tuned(percent)
+    sketch = paragraph_sketches(docs, min_words, banding)
+    rows, comps = near_groups(paragraphs(docs), ["doc_id", "th", "pos"], SHINGLE, percent, banding, sketch)
     # only linked or exactly repeated paragraphs go on
     many = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("node")
-    wanted = materialise(many.unionByName(comps.select("node")).distinct(), "paragraph-nodes")
+    wanted = materialise(many.unionByName(comps.select("node")).distinct(), "paragraph-nodes", rows=rows._palaver_rows, width=32)
+    number = rows._palaver_rows
     rows = rows.join(wanted, "node", "left_semi").withColumn("id_null", F.col("doc_id").isNull())
-    got = label(rows, comps, ["id_null", "doc_id", "th", "pos"])
-    sizes = got.groupBy("comp").agg(F.count(F.lit(1)).alias("group_size"))
-    got = got.join(sizes, "comp").where("group_size > 1")
+    rows._palaver_rows = number
+    got = label(rows, comps, ["id_null", "doc_id", "th", "pos"]).where("group_size > 1")
     first = F.col("first")
     kept = F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("th") == first["th"]) & (F.col("pos") == first["pos"])
     return got.select(
@@ -115,25 +144,15 @@ class Runs:
     """The stretches of successive runs of ``RUN`` words of a text that are found by the same shingle."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.words = Shingler(SEED).words
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, ...] | None:
         """Of each stretch its shingle, a hash of its words, and its first run and their number; last
         a function from a stretch to its runs' hashes. None for a text of fewer words."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if len(words) < RUN:
+        ids = self.words(text)
+        n = len(ids)
+        if n < RUN:
             return None
-        known = self.known
-        if len(known) > _WORDS_KEPT:
-            known.clear()
-        n = len(words)
-        try:
-            ids = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w, 7)
-            ids = np.fromiter(map(known.__getitem__, words), np.uint64, n)
         power, inverse = _powers(1 << max(n - 1, 1).bit_length())
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(ids * power[:n], out=sums[1:])
