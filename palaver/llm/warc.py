@@ -11,7 +11,8 @@ read the format, and ``derive`` maps batches of responses; nothing is shuffled.
 
 Defined results: a null or empty body gives an empty text and no links; a null URL is an empty
 target; a response without a record id still gets derivatives, with a refers-to made of its
-URL and body digest. Repeated rows give repeated (equal) records. Extra columns are dropped.
+URL and body digest. A broken record gives one error row and harms no other. Repeated rows
+give repeated (equal) records. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import hashlib
 import html as entities
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm.common import small_batches
@@ -38,13 +40,17 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
 SKIPPED = "script style noscript template svg head iframe"
 BLOCKS = "address article aside blockquote br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul"
 
-_SKIP = re.compile(r"<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)" % "|".join(SKIPPED.split()), re.S | re.I)
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>", re.S)
-_TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9_]*)[^>]*>")
+# No pattern can run over the "<" of another tag, so that scanning takes time in proportion.
+_SKIP = re.compile(r"<(%s)\b[^<>]*>.*?(?:</\1\s*>|\Z)" % "|".join(SKIPPED.split()), re.S | re.I)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![^<>]*>|<\?[^<>]*>", re.S)
+_TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9_]*)[^<>]*>")
 _BLOCK_NAMES = frozenset(BLOCKS.split())
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_TITLE = re.compile(r"<title\b[^<>]*>", re.I)
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_ANCHOR = re.compile(r"<a\b([^<>]*)", re.I)
+_HREF = re.compile(r"(?<![\w-])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HTML = re.compile(r"<html\b([^<>]*)", re.I)
+_LANG = re.compile(r"(?<![\w-])lang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -71,9 +77,16 @@ def page_text(body: str) -> str:
 
 def page_facts(page: str, body: str) -> tuple[str, str, list[str]]:
     """Title, language and link targets (in order, with repeats)."""
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    links = [_one_line(m[1] or m[2] or m[3] or "") for m in _LINK.finditer(body)]
-    return _one_line(title[1]) if title else "", lang[1].lower() if lang else "", links
+    title = lang = ""
+    if start := _TITLE.search(page):
+        if end := _TITLE_END.search(page, start.end()):
+            title = _one_line(page[start.end() : end.start()])
+    for tag in _HTML.finditer(page):
+        if found := _LANG.search(tag[1]):
+            lang = found[1].lower()
+            break
+    links = [_one_line(m[1] or m[2] or m[3] or "") for tag in _ANCHOR.finditer(body) if (m := _HREF.search(tag[1]))]
+    return title, lang, links
 
 
 def record_id(*parts: str) -> str:
@@ -85,21 +98,67 @@ def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(headers without Content-Length, block) of each record; raises on a broken one."""
+class Broken(ValueError):
+    """A record that does not keep to the format."""
+
+
+_VERSION = re.compile(rb"WARC/\d[^\r\n]*\r?\n")
+_NEXT = re.compile(rb"\nWARC/\d")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
+def _fields(head: bytes) -> list[tuple[str, str]]:
+    """Named fields: ``name:value``, spaces around the value left out, folded lines joined."""
+    out: list[tuple[str, str]] = []
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n"):
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        elif line.strip():
+            name, colon, value = line.partition(":")
+            if not colon or not name.strip():
+                raise Broken(f"no field: {line[:60]!r}")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def scan_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes] | Broken]:
+    """(headers without Content-Length, block) of each record, or what is wrong with it.
+
+    After a broken record the scan goes on at the next line that starts one.
+    """
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = [tuple(line.split(": ", 1)) for line in lines]
-        size = next(int(v) for k, v in headers if k.lower() == "content-length")
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
-        if len(block) < size or data[at - 4 : at] != b"\r\n\r\n":
-            raise ValueError("a record is cut short")
-        yield [h for h in headers if h[0].lower() != "content-length"], block
+        try:
+            version = _VERSION.match(data, at)
+            if not version:
+                raise Broken(f"no record at byte {at}")
+            end = _HEAD_END.search(data, version.end() - 1)
+            if not end:
+                raise Broken(f"no end of the header at byte {at}")
+            headers = _fields(data[version.end() : end.start()])
+            sizes = {v for k, v in headers if k.lower() == "content-length"}
+            if len(sizes) != 1 or not (size := sizes.pop()).isascii() or not size.isdigit():
+                raise Broken(f"no single Content-Length at byte {at}")
+            stop = end.end() + int(size)
+            tail = data[stop : stop + 4]
+            if stop > len(data) or not (tail.startswith((b"\r\n\r\n", b"\n\n")) or not tail.strip(b"\r\n")):
+                raise Broken(f"the block of the record at byte {at} is not {size} bytes")
+            yield [h for h in headers if h[0].lower() != "content-length"], data[end.end() : stop]
+            at = stop
+            while data[at : at + 1] in (b"\r", b"\n"):
+                at += 1
+        except Broken as error:
+            yield error
+            following = _NEXT.search(data, at + 1)
+            at = following.start() + 1 if following else len(data)
+
+
+def parse_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """``scan_records``; raises on a broken record."""
+    for record in scan_records(data):
+        if isinstance(record, Broken):
+            raise record
+        yield record
 
 
 def response(url: str, page: str, page_id: int | None, date: str = PAGE_DATE) -> bytes:
@@ -120,20 +179,64 @@ def response(url: str, page: str, page_id: int | None, date: str = PAGE_DATE) ->
 
 def split_http(block: bytes) -> tuple[str, list[str], bytes]:
     """Status line, header lines and body of an HTTP message."""
-    head, _, body = block.partition(b"\r\n\r\n")
-    status, *lines = head.decode("latin-1").split("\r\n")
+    end = _HEAD_END.search(block)
+    head, body = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    status, *lines = head.decode("latin-1").replace("\r\n", "\n").split("\n")
     return status, lines, body
 
 
-def derivatives(source: bytes) -> list[tuple[str, list[tuple[str, str]], bytes]]:
-    """(type, headers, block) of the metadata and the conversion record of one response record."""
+def _unchunked(body: bytes) -> bytes:
+    """The data of chunks; where a chunk is malformed, the rest as it is."""
+    out, at = [], 0
+    while at < len(body):
+        line = body.find(b"\n", at)
+        try:
+            size = int(body[at : line if line >= 0 else at].split(b";")[0], 16)
+        except ValueError:
+            return b"".join(out) + body[at:]
+        if not size:
+            break
+        out.append(body[line + 1 : line + 1 + size])
+        at = line + 1 + size
+        at += 2 if body[at : at + 2] == b"\r\n" else body[at : at + 1] == b"\n"
+    return b"".join(out)
+
+
+def page_of(http: list[str], body: bytes) -> str:
+    """The page in a body, by its transfer and content encodings and its charset (UTF-8 where
+    none is known); what cannot be undone is taken as it is."""
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in http)}
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        body = _unchunked(body)
+    for coding in reversed(fields.get("content-encoding", "").lower().split(",")):
+        wbits = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding.strip(), ())
+        for bits in wbits:
+            try:
+                body = zlib.decompressobj(bits).decompress(body)
+                break
+            except zlib.error:
+                continue
+    charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", fields.get("content-type", ""), re.I)
+    try:
+        return body.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, UnicodeError):
+        return body.decode("utf-8", "replace")
+
+
+def derivatives(source: bytes) -> list[tuple[str, list[tuple[str, str]], bytes] | Broken]:
+    """(type, headers, block) of the metadata and the conversion record of each response record;
+    what is wrong with a broken record stands in its place."""
     out = []
-    for headers, block in parse_records(source):
+    for record in scan_records(source):
+        if isinstance(record, Broken):
+            out.append(record)
+            continue
+        headers, block = record
         of = {k.lower(): v for k, v in headers}
         if of.get("warc-type") != "response":
             continue
         status, http, body = split_http(block)
-        page = body.decode("utf-8", "replace")
+        page = page_of(http, body)
         uri, date = of.get("warc-target-uri", ""), of.get("warc-date", PAGE_DATE)
         payload = of.get("warc-payload-digest") or digest(body)
         refers = of.get("warc-record-id") or record_id("response", uri, payload)
@@ -181,11 +284,12 @@ def respond(pages: DataFrame) -> DataFrame:
     return pages.select(*columns).mapInArrow(made, "page_id long, record binary")
 
 
-DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, block_digest string, content_length long, record binary"
+DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, block_digest string, content_length long, record binary, error string"
 
 
 def derive(responses: DataFrame) -> DataFrame:
-    """responses (page_id, record): one row per derivative, with the record's bytes."""
+    """responses (page_id, record): one row per derivative, with the record's bytes; a broken
+    record gives one row of type ``error`` that says what is wrong, its other columns null."""
     small_batches(responses.sparkSession, 1000)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +297,53 @@ def derive(responses: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for page_id, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for kind, headers, block in derivatives(source.as_py() or b""):
+                for found in derivatives(source.as_py() or b""):
+                    if isinstance(found, Broken):
+                        rows.append((page_id, "error", *[None] * 6, str(found)))
+                        continue
+                    kind, headers, block = found
                     of = dict(headers)
                     rows.append(
                         (page_id, kind, of["WARC-Record-ID"], of["WARC-Refers-To"], of["WARC-Target-URI"])
-                        + (of["WARC-Block-Digest"], len(block), record_bytes(headers, block))
+                        + (of["WARC-Block-Digest"], len(block), record_bytes(headers, block), None)
                     )
-            types = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary()]
+            types = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary(), pa.string()]
             columns = zip(*rows) if rows else [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
 
     return responses.select("page_id", "record").mapInArrow(made, DERIVED)
+
+
+def _members(data: bytes) -> Iterator[bytes]:
+    """Unpacked members of a gzip file, one at a time; a file that is not gzip is one member."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
+    rest = data
+    while rest.startswith(b"\x1f\x8b"):
+        unpack = zlib.decompressobj(31)
+        try:
+            yield unpack.decompress(rest)
+        except zlib.error as error:
+            yield f"gzip: {error}".encode()  # scanned as a broken record
+            return
+        rest = unpack.unused_data
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The records of WARC files below ``path``, plain or of gzip members, as (page_id, record):
+    page_id counts the records of a file. Read by Spark, so any file system will do; a file
+    is held by one task, and Spark reads files up to 2 GB so."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                number = 0
+                for member in _members(content.as_py()):
+                    for record in scan_records(member):
+                        whole = str(record).encode() if isinstance(record, Broken) else record_bytes(*record)
+                        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([whole], pa.binary())], names=["page_id", "record"])
+                        number += 1
+
+    return files.mapInArrow(cut_up, "page_id long, record binary")
