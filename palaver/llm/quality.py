@@ -33,6 +33,8 @@ WINDOW = 5
 FIT_ROWS = 20_000
 #: Share of the labelled good documents that the fitted threshold may cost.
 GOOD_LOSS = 0.001
+#: One in so many labelled documents is kept from the trees and sets the threshold.
+HELD_OUT = 5
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: feature -> direction of the score as the feature grows (0: free)
@@ -229,7 +231,11 @@ def fit_trees(
             w = grad[rows].sum() / (hess[rows].sum() + ridge)
             leaf[t, k] = rate * float(np.clip(w, low[at], high[at]))
         raw += leaf[t, node - inner]
-    model = Trees(feature, split, leaf, bias, depth)
+    return set_threshold(Trees(feature, split, leaf, bias, depth), x, y)
+
+
+def set_threshold(model: Trees, x: np.ndarray, y: np.ndarray) -> Trees:
+    """The threshold that costs ``GOOD_LOSS`` of the good rows given, 0.5 at most."""
     model.threshold = float(min(0.5, np.quantile(model.score(x)[y > 0], GOOD_LOSS)))
     return model
 
@@ -257,7 +263,11 @@ def _statistics_udf(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees | None:
-    """Fit on a hash sample of about ``fit_rows`` labelled documents at most."""
+    """Fit on a hash sample of about ``fit_rows`` labelled documents at most.
+
+    The trees learn from four in five of them, by a hash of the id; the others set the
+    threshold (all do, where none of the others is good).
+    """
     small_batches(docs.sparkSession, 1000)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, fit_rows / max(known.count(), 1))
@@ -266,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees |
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")  # about FIT_ROWS ids; the texts stay where they are
         .select(F.col("doc_id"), "quality", _statistics_udf("text").alias("s"))
-        .select("doc_id", "quality", "s.n_words", "s.n_repeat_words", "s.features")
+        .select("doc_id", "quality", "s.n_words", "s.n_repeat_words", "s.features", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD_OUT)).alias("part"))
         .orderBy("doc_id")
         .toPandas()
     )
@@ -275,7 +285,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees |
     rows = rows[~base_failed(rows.n_words.to_numpy(), rows.n_repeat_words.to_numpy())]
     if rows.empty:
         return None
-    return fit_trees(np.array(rows.features.tolist(), dtype=float), (rows.quality > 0).to_numpy().astype(float))
+    x, y = np.array(rows.features.tolist(), dtype=float), (rows.quality > 0).to_numpy().astype(float)
+    held = (rows.part == 0).to_numpy()
+    model = fit_trees(x[~held], y[~held]) if not held.all() else None
+    if model is not None and (y[held] > 0).any():
+        set_threshold(model, x[held], y[held])
+    return model
 
 
 def judge(model: Trees | None):
@@ -307,12 +322,12 @@ def score_documents(docs: DataFrame, model: Trees | None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    small_batches(docs.sparkSession, 1000)
-    names = docs.columns
-    name = "_judged"
-    while name in names:
-        name += "_"
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
+
+    Rows are judged one by one: repeated rows stay or go together, null texts go.
+    """
     model = fit(docs, labels)
-    marked = docs.withColumn(name, judge(model)(F.col("text")))
-    return marked.where(F.col(f"{name}.kept")).select(*[F.col(f"`{c}`") for c in names])
+    names = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    marked = packed.withColumn("_judged", judge(model)(F.col("_row.text")))
+    return marked.where("_judged.kept").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
