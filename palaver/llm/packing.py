@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,43 +204,60 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def pieces(docs: DataFrame, *, capacity: int = CAPACITY, json_path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per piece; with ``with_ids`` also its ids as little-endian 32-bit bytes."""
+    """One row per piece; with ``with_ids`` also its ids as little-endian 32-bit bytes.
+
+    ``copy`` is the number of equal pieces before it in its task. Null ids stay null.
+    """
     small_batches(docs.sparkSession, 1000)
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    id_field = docs.schema["doc_id"]
+    schema = f"doc_id {id_field.dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, copy long" + ", ids binary" * with_ids
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, closing = encoder(json_path).encode_batch, np.array([CLOSING_ID], "<u4").tobytes()
+        seen: Counter = Counter()
         for batch in batches:
-            doc, start, length, crc, total, ids = [], [], [], [], [], []
-            for doc_id, ids_of in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+            doc, start, length, crc, total, copy, ids = [], [], [], [], [], [], []
+            names_of = batch.column(0).to_pylist()
+            for row, ids_of in enumerate(encode(batch.column(1))):
                 raw = ids_of + closing
                 n = len(raw) // 4
                 for s, m in cut(n, capacity):
                     part = raw[4 * s : 4 * (s + m)]
-                    doc.append(doc_id)
+                    doc.append(row)
                     start.append(s)
                     length.append(m)
                     crc.append(zlib.crc32(part))
                     total.append(n)
+                    same = names_of[row], s, crc[-1]
+                    copy.append(seen[same])
+                    seen[same] += 1
                     if with_ids:
                         ids.append(part)
-            long = [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            long = [batch.column(0).take(pa.array(doc, pa.int64()))]
+            long += [pa.array(x, pa.int64()) for x in (start, length, crc, total, copy)]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"]
             if with_ids:
                 yield pa.RecordBatch.from_arrays([*long, pa.array(ids, pa.binary())], names=[*names, "ids"])
             else:
                 yield pa.RecordBatch.from_arrays(long, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokenised, schema)
+    return docs.select("doc_id", "text").mapInArrow(tokenised, schema)
 
 
 def pack(
     docs: DataFrame, *, capacity: int = CAPACITY, json_path: str | None = None, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
+    """doc_id (of the type it has), start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece.
+
+    Pieces are dealt to shards by a hash; the k-th of equal pieces in a task goes k shards on,
+    so that equal rows do not meet in one. That depends on which rows a task has, not on
+    their order, so a task that runs again deals alike.
+    """
     shards = max(1, -(-docs.count() // shard_rows))
     cut_up = pieces(docs, capacity=capacity, json_path=json_path)
-    dealt = cut_up.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    place = F.xxhash64("doc_id", "start", "ids_crc32") + F.col("copy")
+    dealt = cut_up.withColumn("shard", F.pmod(place, F.lit(shards)))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
@@ -247,4 +265,4 @@ def pack(
         frame["sequence_id"] = frame["shard"].to_numpy(np.int64) * (1 << 32) + window
         return frame[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    return dealt.groupBy("shard").applyInPandas(packed, PIECES)
+    return dealt.groupBy("shard").applyInPandas(packed, PIECES.replace("doc_id long", f"doc_id {id_type}"))
