@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 from palaver.llm.common import small_batches
 
 DIM = 4096
-#: Bound on the learning rows of each language (expected size of the hash sample), and on languages.
+#: Bound on the learning rows of each language (expected size of the hash sample).
 FIT_ROWS = 600
-MAX_LANGS = 200
 UNDETERMINED = "und"
 #: Families of ISO 639-1 codes (fixed values). Any other code is a family of its own.
 FAMILIES = {
@@ -67,24 +66,27 @@ def features(text: str) -> np.ndarray:
     return (v / np.linalg.norm(v)).astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 200) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 200, close: float = 2e-3) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by accelerated gradient steps. y: +1 or -1.
 
-    Classes weigh alike however many rows they have.
+    Classes weigh alike however many rows they have. The last column of ``x`` is one, for
+    the bias. Steps end when one moves the weights by less than ``close`` of their length.
     """
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * c
-    data = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    step = 1.0 / (1.0 + 2 * weight.sum() * 2)
-    w = look = np.zeros(data.shape[1])
+    y = y.astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32) * np.float32(c)
+    step = np.float32(1.0 / (1.0 + 2 * float(weight.sum()) * 2))
+    w = look = np.zeros(x.shape[1], np.float32)
     t = 1.0
     for _ in range(rounds):
-        miss = np.maximum(0.0, 1 - y * (data @ look))
-        grad = look - 2 * data.T @ (weight * miss * y)
-        new = look - step * grad
+        miss = np.maximum(np.float32(0), 1 - y * (x @ look))
+        new = look - step * (look - 2 * ((weight * miss * y) @ x))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        look = new + (t - 1) / t_new * (new - w)
+        moved = new - w
+        look = new + np.float32((t - 1) / t_new) * moved
         w, t = new, t_new
-    return w[:-1].astype(np.float32), float(w[-1])
+        if np.linalg.norm(moved) <= close * np.linalg.norm(w):
+            break
+    return w[:-1], float(w[-1])
 
 
 @dataclass
@@ -142,7 +144,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     """Learn from rows (doc_id, text, lang) with a lang; a bounded hash sample of each language."""
     small_batches(docs.sparkSession, 1000)
     known = docs.where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = known.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
     if not sizes:
         return None
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
@@ -153,7 +155,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     got = known.where(chosen).select("lang", "text").mapInArrow(_features_of, "lang string, v binary").toPandas()
     if got.empty:
         return None
-    x = np.stack([np.frombuffer(v, np.float16) for v in got.v]).astype(np.float32)
+    x = np.ones((len(got), DIM + 1), np.float32)
+    x[:, :-1] = np.stack([np.frombuffer(v, np.float16) for v in got.v])
     order = np.lexsort((got.v.to_numpy(), got.lang.to_numpy()))  # the same model whatever the row order
     x, lang = x[order], got.lang.to_numpy()[order]
     by = {}
@@ -161,7 +164,10 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
         by.setdefault(family(name), []).append(name)
     families = sorted(by)
     group = np.array([family(name) for name in lang])
-    if len(families) > 1:
+    if len(families) == 2:  # one machine serves both
+        w, b = fit_svm(x, np.where(group == families[0], 1.0, -1.0))
+        made = [(w, b), (-w, -b)]
+    elif len(families) > 2:
         made = [fit_svm(x, np.where(group == f, 1.0, -1.0)) for f in families]
     else:
         made = [(np.zeros(DIM, np.float32), 0.0)]
