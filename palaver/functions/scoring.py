@@ -79,10 +79,13 @@ def broken_rating(text: str | Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit(""))).cast("int")
 
 
-def json_rating(text: Column) -> Column:
-    """1 to 7, from an integer or a JSON float (cut); null for anything else."""
-    value = F.floor(text.try_cast("double")).cast("int")
-    return F.when(value.between(1, 7), value)
+def json_rating(value: Column, path: str) -> Column:
+    """1 to 7, from an integer, a JSON float (cut), true or a string of an integer; null for anything else."""
+    text = field(value, path)
+    kind = F.schema_of_variant(F.try_variant_get(value, f"$.{path}", "variant"))
+    whole = F.when(F.rlike(text, F.lit(r"\A\s*[+-]?\d+\s*\z")), F.btrim(text).try_cast("int"))
+    got = F.when(F.rlike(kind, F.lit("^(VARCHAR|STRING)")), whole).when(kind == "BOOLEAN", F.when(text == "true", 1)).otherwise(F.floor(text.try_cast("double")).try_cast("int"))
+    return F.when(got.between(1, 7), got)
 
 
 def pairwise(raw: str | Column, lenient: bool = False) -> Column:
@@ -98,7 +101,7 @@ def pairwise(raw: str | Column, lenient: bool = False) -> Column:
 def _pairwise(value: Column, raw: str | Column, lenient: bool) -> Column:
     # each field is read once; the arithmetic below works on the bound numbers
     names = [f"{c}_{s}" for s in "ab" for c in CRITERIA] + [f"{p}_{s}" for s in "ab" for p in PENALTIES]
-    texts = F.struct(*[field(value, n).alias(n) for n in names], json_rating(field(value, "rating")).alias("explicit"))
+    texts = F.struct(*[field(value, n).alias(n) for n in names], json_rating(value, "rating").alias("explicit"))
 
     def judged(t: Column) -> Column:
         any_field, bad, total = F.lit(False), F.lit(False), {}

@@ -203,10 +203,11 @@ def folded_words(text: str | Column) -> Column:
     return F.transform(F.regexp_extract_all(_col(text), F.lit(WORD), F.lit(0)), lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss")))
 
 
-def excerpt(text: str | Column, most: int = 220) -> Column:
-    """White space collapsed; longer texts cut with dots inside the limit."""
+def excerpt(text: str | Column, most: int = 220, inside: bool = True) -> Column:
+    """White space collapsed; longer texts cut, with dots inside the limit or after it."""
     plain = normalise_space(text)
-    return F.when(F.char_length(plain) <= most, plain).otherwise(F.concat(F.rtrim(F.substring(plain, 1, most - 3)), F.lit("...")))
+    cut = F.rtrim(F.substring(plain, 1, most - 3)) if inside else F.substring(plain, 1, most)
+    return F.when(F.char_length(plain) <= most, plain).otherwise(F.concat(cut, F.lit("...")))
 
 
 def question_like(text: str | Column) -> Column:

@@ -1,7 +1,8 @@
 """Copied passages between a response and its sources, by an n-gram join.
 
-Each n-gram is a 128-bit pair of hashes; grams that only one side has go before the join. Matches on
-one diagonal (response index less source index) that follow one another are one run.
+Each n-gram is a 128-bit pair of hashes. Up to ``BROADCAST_GRAMS`` grams of the sources are
+broadcast, so that the responses' grams stay where they are; more are joined by a shuffle.
+Matches on one diagonal (response index less source index) that follow one another are one run.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from palaver.functions.text import folded_words
 
 
+#: Most source grams that are broadcast (two hashes, a position and the keys: under 100 bytes each).
+BROADCAST_GRAMS = 300_000
+
+
 def grams(rows: DataFrame, keys: list[str], words: Column, n: int, at: str) -> DataFrame:
     """keys, position and gram (two hashes) of every n-gram."""
     w = rows.select(*keys, words.alias("_w")).where(F.size("_w") >= n)
@@ -30,7 +35,7 @@ def runs(responses: DataFrame, sources: DataFrame, response_key: list[str], sour
     r = grams(responses, response_key, F.col("words"), n, "ri")
     s = grams(sources, source_key, F.col("words"), n, "si")
     both = ["g1", "g2", *on]
-    met = r.join(s, both)
+    met = r.join(F.broadcast(s) if s.count() <= BROADCAST_GRAMS else s, both)
     keys = list(dict.fromkeys([*response_key, *source_key]))
     line = Window.partitionBy(*keys, "d").orderBy("ri")
     met = met.withColumn("d", F.col("ri") - F.col("si")).withColumn("island", F.col("ri") - F.row_number().over(line))

@@ -62,10 +62,52 @@ def user_tail_split(rows: DataFrame, user: str, order: list[str], fraction: floa
     return n.withColumn("split", F.when(F.col("_r") > F.col("_n") - tail_size(F.col("_n"), fraction), "val").otherwise("train")).drop("_n", "_r")
 
 
+#: Most buckets of a global order, and the values sampled to cut them (expected size, on the driver).
+BUCKETS, SAMPLE, BUCKET_ROWS = 1024, 20_000, 200_000
+
+
+def _cut_bucket(rows: DataFrame, by: str) -> Column:
+    """Bucket of ``by``'s value: bucket numbers rise with the values. Cuts come from a hash sample."""
+    n = rows.count()
+    wanted = min(BUCKETS, n // BUCKET_ROWS)
+    if wanted < 2:
+        return F.lit(0)
+    share = F.pmod(F.xxhash64(by), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / n))
+    seen = sorted({r[0] for r in rows.where(share & F.col(by).isNotNull()).select(by).collect()})
+    cuts = sorted({seen[len(seen) * i // wanted] for i in range(1, wanted)}) if seen else []
+    if not cuts:
+        return F.lit(0)
+    width = max(2, round(len(cuts) ** 0.5))
+    group = F.size(F.filter(F.array(*map(F.lit, cuts[::width])), lambda c: c <= F.col(by))) - 1
+    fine = F.size(F.filter(F.slice(F.array(*map(F.lit, cuts)), group * width + 1, F.lit(width)), lambda c: c <= F.col(by)))
+    return F.when(F.col(by).isNull() | (F.col(by) < cuts[0]), 0).otherwise(group * width + fine)
+
+
+def globally_numbered(rows: DataFrame, name: str, order: list[str], bucket: Column | None = None) -> DataFrame:
+    """``name``: the 0-based place of each row in the order of the columns ``order``.
+
+    Rows are numbered within buckets of the first column (``bucket``, where its cuts are
+    known), and the counts of the buckets before are added: at most 4,096 rows of counts
+    meet in one task, never the rows themselves. Rows that tie in all of ``order`` share it by chance.
+    """
+    marked = rows.withColumn("_b", (_cut_bucket(rows, order[0]) if bucket is None else bucket).cast("int"))
+    sizes = marked.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = sizes.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before"))
+    inside = marked.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    return inside.join(F.broadcast(before), "_b").withColumn(name, (F.col("_before") + F.col("_i") - 1).cast("long")).drop("_b", "_i", "_before")
+
+
+def digest_numbered(rows: DataFrame, name: str, digest: Column, key: str) -> DataFrame:
+    """``globally_numbered`` by a hexadecimal digest, then ``key``; a digest's first digits are its bucket."""
+    marked = rows.withColumn("_d", digest)
+    return globally_numbered(marked, name, ["_d", key], F.conv(F.substring("_d", 1, 3), 16, 10)).drop("_d")
+
+
 def user_rank(users: DataFrame, user: str, salt: str, seed: int = SEED) -> DataFrame:
     """Users in an order that is random but fixed: rank of a digest."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:{salt}:"), F.col(user).cast("string")), 256)
-    return users.select(user).distinct().withColumn("user_rank", F.row_number().over(Window.orderBy(digest, user)).cast("long"))
+    ranked = digest_numbered(users.select(user).distinct(), "user_rank", digest, user)
+    return ranked.withColumn("user_rank", F.col("user_rank") + 1)
 
 
 def fraction_cut(users: DataFrame, user: str, fraction: float, salt: str, *, even: bool = True, seed: int = SEED) -> DataFrame:
@@ -106,27 +148,32 @@ def overlap(left: DataFrame, right: DataFrame, user: str) -> DataFrame:
 def number_rows(rows: DataFrame, user: str, split: str, order: list[str]) -> DataFrame:
     """``prompt_idx``: one counter over users in order, each user's splits in turn.
 
-    Counts per user are summed first, so only one row per user meets in one partition.
+    Counts per user are summed first, in buckets of users, and only the buckets' sums meet in one task.
     """
     within = rows.withColumn("_i", F.row_number().over(Window.partitionBy(user).orderBy(split, *order)))
-    sizes = rows.groupBy(user).agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.withColumn("_before", F.sum("_c").over(Window.orderBy(user)) - F.col("_c")).drop("_c")
+    sizes = rows.groupBy(user).agg(F.count(F.lit(1)).alias("_c")).withColumn("_u", _cut_bucket(rows.select(user).distinct(), user).cast("int"))
+    ahead = sizes.groupBy("_u").agg(F.sum("_c").alias("_t"))
+    ahead = ahead.select("_u", (F.sum("_t").over(Window.orderBy("_u")) - F.col("_t")).alias("_ahead"))
+    own = F.sum("_c").over(Window.partitionBy("_u").orderBy(user)) - F.col("_c")
+    before = sizes.withColumn("_own", own).join(F.broadcast(ahead), "_u").select(user, (F.col("_ahead") + F.col("_own")).alias("_before"))
     return within.join(before, user).withColumn("prompt_idx", (F.col("_before") + F.col("_i") - 1).cast("long")).drop("_i", "_before")
 
 
 def slice_users(users: DataFrame, user: str, offset: int, limit: int) -> DataFrame:
     """Users offset+1 .. offset+limit in id order; an offset beyond the end is an error."""
-    ranked = users.select(user).distinct().withColumn("_r", F.row_number().over(Window.orderBy(user)))
+    ranked = globally_numbered(users.select(user).distinct(), "_r", [user])
     total = ranked.agg(F.count(F.lit(1)).alias("_n"))
     checked = ranked.crossJoin(F.broadcast(total)).where(F.when(F.col("_n") < offset, F.raise_error(F.lit("offset is beyond the last user")).cast("boolean")).otherwise(F.lit(True)))
-    return checked.where((F.col("_r") > offset) & (F.col("_r") <= offset + limit)).select(user)
+    return checked.where((F.col("_r") >= offset) & (F.col("_r") < offset + limit)).select(user)
 
 
 def sequential_ids(values: DataFrame, column: str, prefix: str, width: int = 6) -> DataFrame:
     """Each distinct non-blank value with a dense zero-padded id by sorted order."""
     distinct = values.select(column).where(F.trim(F.col(column).cast("string")) != "").distinct()
-    rank = F.row_number().over(Window.orderBy(column)) - 1
-    return distinct.withColumn("anonymous_id", F.concat(F.lit(f"{prefix}_"), F.lpad(rank.cast("string"), width, "0")))
+    ranked = globally_numbered(distinct, "_r", [column])
+    # a number wider than the padding keeps all its digits
+    number = F.when(F.length(F.col("_r").cast("string")) >= width, F.col("_r").cast("string")).otherwise(F.lpad(F.col("_r").cast("string"), width, "0"))
+    return ranked.select(column, F.concat(F.lit(f"{prefix}_"), number).alias("anonymous_id"))
 
 
 def first_non_blank(rows: DataFrame, user: str, value: str, order: list[str]) -> DataFrame:
@@ -134,9 +181,10 @@ def first_non_blank(rows: DataFrame, user: str, value: str, order: list[str]) ->
     return rows.where(F.trim(F.col(value)) != "").groupBy(user).agg(F.min_by(value, F.struct(*order)).alias(value))
 
 
-def shuffled(rows: DataFrame, key: Column, seed: int) -> DataFrame:
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """``shuffle_ord``: a fixed random order of rows by a digest of their key."""
-    return rows.withColumn("shuffle_ord", F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), key)).cast("long"))
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    return digest_numbered(rows, "shuffle_ord", digest, key).withColumn("shuffle_ord", F.col("shuffle_ord") + 1)
 
 
 def include_exclude(rows: DataFrame, column: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.text import context_label, context_text, redact, unusable_speaker, unusable_text
 
+# Fixed value: the mark before a chain whose root is not known.
 EARLIER = "[... earlier comments by other users ...]"
 
 
@@ -93,6 +94,7 @@ def history_block(threads: DataFrame, user: str) -> DataFrame:
     )
     kept = threads.where(F.coalesce("chains", F.lit("")) != "")
     posts = F.transform(F.array_sort(F.collect_list(F.struct("rank", post.alias("p")))), lambda x: x["p"])
+    # fixed value: the heading that results must carry
     head = F.lit("[USER HISTORY]\nBelow are [HUMAN]'s previous messages.\n")
     return kept.groupBy(user).agg(F.concat(head, F.array_join(posts, "\n")).alias("history"))
 

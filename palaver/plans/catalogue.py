@@ -245,7 +245,7 @@ def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINKED = "'see https://www.reddit.com/r/pics/comments/ab' || doc_id || '/x and https://redd.it/z' || doc_id || ' by /u/user_' || doc_id || ' or https://old.reddit.com/user/u' || doc_id || ' (https://i.reddit.com/q) t1_abc' || doc_id || 'xyz '"
 
 
-@query(rf"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({_LINKED} || substr(text, 1, 60), ' ' || chr(9) || chr(10) || chr(13)),
+@query(rf"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({_LINKED} || text, ' ' || chr(9) || chr(10) || chr(13)),
  'https?://((www|old|np)\.)?reddit\.com/r/[A-Za-z0-9_]+/comments/[A-Za-z0-9]+[^\s<>()\]]*', '[REDDIT THREAD]', 'gi'),
  'https?://(www\.)?redd\.it/[A-Za-z0-9]+[^\s<>()\]]*', '[REDDIT THREAD]', 'gi'),
  'https?://((www|old|np)\.)?reddit\.com/(user|u)/[A-Za-z0-9_-]+/?[^\s<>()\]]*', '[REDDIT USER]', 'gi'),
@@ -255,22 +255,11 @@ _LINKED = "'see https://www.reddit.com/r/pics/comments/ab' || doc_id || '/x and
 def redact_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id").cast("string")
-    made = F.concat(
-        F.lit("see https://www.reddit.com/r/pics/comments/ab"), n, F.lit("/x and https://redd.it/z"), n, F.lit(" by /u/user_"), n,
-        F.lit(" or https://old.reddit.com/user/u"), n, F.lit(" (https://i.reddit.com/q) t1_abc"), n, F.lit("xyz "), F.substring("text", 1, 60),
-    )
-    return d.select("doc_id", F.sha2(text.redact(made), 256).alias("redacted_sha"))
-
-
-@query(ORACLE["redact_identifiers"].replace("substr(text, 1, 60)", "text"))
-def redact_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``redact_identifiers`` over the whole text, not its first 60 characters."""
-    n = F.col("doc_id").cast("string")
     made = F.concat(
         F.lit("see https://www.reddit.com/r/pics/comments/ab"), n, F.lit("/x and https://redd.it/z"), n, F.lit(" by /u/user_"), n,
         F.lit(" or https://old.reddit.com/user/u"), n, F.lit(" (https://i.reddit.com/q) t1_abc"), n, F.lit("xyz "), "text",
     )
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.redact(made), 256).alias("redacted_sha"))
+    return d.select("doc_id", F.sha2(text.redact(made), 256).alias("redacted_sha"))
 
 
 @query("""SELECT doc_id, sha256(regexp_replace(chr(1) || text || chr(11) || 'x', '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) AS clean_sha FROM documents""")
@@ -418,10 +407,9 @@ def pairwise_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", *[F.round(f"j.{c}", 6).alias(c) for c in ("score_a", "score_b", "gap")], F.coalesce("j.rating", F.lit(0)).alias("rating"), "j.parse_error")
 
 
-@query("SELECT i AS n, " + _GAP.replace("gap", "((i - 100) * 0.05)") + "::INT AS rating FROM (SELECT event_id % 200 AS i FROM events) GROUP BY ALL")
+@query("SELECT event_id, " + _GAP.replace("gap", "(value / 20 - 2.5)") + "::INT AS rating FROM events")
 def gap_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "events").select((F.col("event_id") % 200).alias("n")).distinct()
-    return n.select("n", scoring.gap_rating(((F.col("n") - 100) * F.lit(0.05)).cast("double")).cast("int").alias("rating"))
+    return table(spark, sf_dir, "events").select("event_id", scoring.gap_rating(F.col("value") / 20 - 2.5).cast("int").alias("rating"))
 
 
 @query(f"""WITH {_JUDGED}, o AS (SELECT doc_id % 40 AS thread, CASE WHEN parse_error OR rating IS NULL THEN 0 WHEN doc_id % 2 = 0 THEN rating ELSE 8 - rating END AS s FROM j)
@@ -462,14 +450,14 @@ def similarity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH w AS (SELECT d.doc_id, len(regexp_extract_all(d.text, '[\p{L}\p{N}\p{M}_'']+')) AS g, len(regexp_extract_all(b.text, '[\p{L}\p{N}\p{M}_'']+')) AS h
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 p AS (SELECT doc_id, g / greatest(h, 1)::DOUBLE AS ratio FROM w)
 SELECT doc_id, round(least(greatest(0.8 - ratio, 0) / 0.8 * 0.35 + greatest(ratio - 1.1, 0) / 1.1 * 0.15, 0.25), 6) AS penalty,
   round(greatest(0, 0.9 * (least((1 + doc_id % 7)::DOUBLE, 5) - 1) / 6 + 0.1 - least(greatest(0.8 - ratio, 0) / 0.8 * 0.35 + greatest(ratio - 1.1, 0) / 1.1 * 0.15, 0.25)), 6) AS reward FROM p""")
 def length_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
     # the sources are a small table; Spark broadcasts it while it is below the session's bound
-    j = d.join(b, F.col("doc_id") % 40 == F.col("item_id"))
+    j = d.join(b, F.col("doc_id") % b.count() == F.col("item_id"))
     penalty = scoring.length_penalty(text.word_count("text"), text.word_count("truth"))
     reward = scoring.pairwise_reward(1 + F.col("doc_id") % 7, F.lit(0.1), penalty, F.col("text"), F.lit(True))
     return j.select("doc_id", F.round(penalty, 6).alias("penalty"), F.round(reward, 6).alias("reward"))
@@ -509,10 +497,11 @@ def reasoning_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", "turn", F.sha2("r.reasoning", 256).alias("reasoning_sha"), F.sha2("r.response", 256).alias("response_sha"))
 
 
-@query("""SELECT doc_id, doc_id % 3 = 0 OR doc_id % 3 = 1 AS question FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN contains(coalesce(text, ''), '?') ELSE true END AS question FROM documents""")
 def question_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id") % 3
-    made = F.when(n == 0, F.lit("[HUMAN]: Why not")).when(n == 1, F.lit("so it goes?")).otherwise(F.lit("whatever, fine"))
+    body = F.coalesce("text", F.lit(""))
+    made = F.when(n == 0, F.concat(F.lit("[HUMAN]: Why not "), body)).when(n == 1, F.concat(F.lit("Well, "), body)).otherwise(F.concat(body, F.lit(" so it goes?")))
     return table(spark, sf_dir, "documents").select("doc_id", text.question_like(made).alias("question"))
 
 
@@ -593,7 +582,7 @@ def sft_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey AS post_id, row_number() OVER (ORDER BY sha256('42:' || o_orderkey::VARCHAR), o_orderkey) AS shuffle_ord FROM orders""")
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("post_id"))
-    return splits.shuffled(rows, F.col("post_id"), 42)
+    return splits.shuffled(rows, "post_id", 42)
 
 
 @query("""SELECT user_id, round(greatest(-8, least(0, avg(-value / 50))) + 0.1, 6) AS reward FROM events GROUP BY 1""")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions.scoring import field
+from palaver.operators.splits import globally_numbered
 
 MESSAGES = "array<struct<role:string,content:string>>"
 ROWS = f"data_source string, prompt {MESSAGES}, reward_model struct<style:string,ground_truth:string>, extra_info map<string,string>"
@@ -135,15 +136,39 @@ def archive_paths(folder: str, names: list[str]) -> list[str]:
     return found
 
 
-def read_targets(rows: DataFrame, order: str, user: str, *, offset: int = 0, limit: int | None = None, user_offset: int = 0, users: int | None = None) -> DataFrame:
-    """Target rows by slice, then by users in order of first appearance."""
-    from pyspark.sql import Window
-
-    r = rows.withColumn("_r", F.row_number().over(Window.orderBy(order))).where(F.col("_r") > offset)
+def read_targets(
+    rows: DataFrame,
+    order: str,
+    user: str,
+    *,
+    offset: int = 0,
+    limit: int | None = None,
+    user_offset: int = 0,
+    users: int | None = None,
+    modes: dict[str, str] | None = None,
+) -> DataFrame:
+    """Target rows by slice, then by users in order of first appearance (``user_ord``, from 1).
+
+    ``modes``: columns and the one value that each row must have there (a null prompt_mode will
+    do). A blank user and an offset beyond the end are errors.
+    """
+    if min(offset, user_offset) < 0 or (limit is not None and limit <= 0):
+        raise ValueError("offsets must not be negative and a limit must be positive")
+    if offset and rows.count() <= offset:
+        raise ValueError(f"offset {offset} is beyond the last row")
+    r = globally_numbered(rows, "_r", [order]).where(F.col("_r") >= offset)
     if limit is not None:
-        r = r.where(F.col("_r") <= offset + limit)
-    firsts = r.groupBy(user).agg(F.min("_r").alias("_f"))
-    firsts = firsts.withColumn("user_ord", F.row_number().over(Window.orderBy("_f"))).where(F.col("user_ord") > user_offset)
+        r = r.where(F.col("_r") < offset + limit)
+    refuse = lambda text: F.raise_error(F.lit(text)).cast("boolean")
+    ok = F.when(F.coalesce(F.trim(F.col(user).cast("string")), F.lit("")) == "", refuse("a row has no user")).otherwise(F.lit(True))
+    for name, value in (modes or {}).items():
+        wrong = ~F.coalesce(F.col(name) == value, F.lit(name == "prompt_mode"))
+        ok = F.when(wrong, refuse(f"a row's {name} is not {value}")).otherwise(ok)
+    r = r.where(ok)
+    firsts = globally_numbered(r.groupBy(user).agg(F.min("_r").alias("_f")), "user_ord", ["_f"]).withColumn("user_ord", F.col("user_ord") + 1)
+    if user_offset and firsts.count() <= user_offset:
+        raise ValueError(f"user offset {user_offset} is beyond the last user")
+    firsts = firsts.where(F.col("user_ord") > user_offset)
     if users is not None:
         firsts = firsts.where(F.col("user_ord") <= user_offset + users)
     return r.join(firsts.drop("_f"), user).drop("_r")

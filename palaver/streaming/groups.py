@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 GROUP_SIZE, TIMEOUT_MS = 4, 180_000
 KEY_FIELDS = ["index", "user_id", "raw_user_id", "post_id", "target_idx", "prompt_text", "context", "user_history", "ground_truth"]
@@ -39,13 +41,15 @@ def group_by_count(rows: DataFrame, key: str, order: list[str], n: int = GROUP_S
 def group_stream(rows: DataFrame, key: str, n: int = GROUP_SIZE, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
     """Streaming form: (key, size, reason, members) whenever n rows of a key are there or time is up.
 
-    ``rows``: key and ``payload`` (string). Rows that come after a flush open a new group.
+    ``rows``: key and ``payload`` (string). The time runs from the first arrival of a group, so
+    a trickle of rows does not put it off. Rows that come after a flush open a new group.
+    With n = 8 and 5 ms it batches requests by size or time.
     """
-    state_schema = "members array<string>"
+    state_schema = "members array<string>, deadline long"
     out_schema = f"{key} string, size int, reason string, members array<string>"
 
     def flush(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held, deadline = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
         if state.hasTimedOut:
             state.remove()
             yield pd.DataFrame({key: [name[0]], "size": [len(held)], "reason": ["timeout"], "members": [held]})
@@ -56,9 +60,12 @@ def group_stream(rows: DataFrame, key: str, n: int = GROUP_SIZE, timeout_ms: int
         while len(held) >= n:
             done.append(held[:n])
             held = held[n:]
+            deadline = None  # what is left has just come
         if held:
-            state.update((held,))
-            state.setTimeoutDuration(timeout_ms)
+            now = state.getCurrentProcessingTimeMs()
+            deadline = deadline or now + timeout_ms
+            state.update((held, deadline))
+            state.setTimeoutDuration(max(1, deadline - now))
         elif state.exists:
             state.remove()
         if done:
@@ -67,6 +74,53 @@ def group_stream(rows: DataFrame, key: str, n: int = GROUP_SIZE, timeout_ms: int
     return rows.groupBy(key).applyInPandasWithState(flush, out_schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def score_batches(rows: DataFrame, prompt: str, hook, size: int = 8) -> DataFrame:
+    """``rows`` with ``score`` and ``error``: the hook gets up to ``size`` prompts at a time.
+
+    ``hook(list of prompts) -> list of numbers``. A wrong number of results, or an exception,
+    is the error of every row of that batch and of no other.
+    """
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("error", StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            scores, errors = [], []
+            for at in range(0, len(batch), size):
+                part = batch[prompt].iloc[at : at + size].tolist()
+                try:
+                    got, error = [float(x) for x in hook(part)], None
+                    if len(got) != len(part):
+                        raise RuntimeError(f"{len(got)} results for {len(part)} prompts")
+                except Exception as problem:  # noqa: BLE001 - any failure belongs to this batch
+                    got, error = [None] * len(part), f"{type(problem).__name__}: {problem}"
+                scores += got
+                errors += [error] * len(part)
+            yield batch.assign(score=pd.Series(scores, index=batch.index, dtype="float64"), error=pd.Series(errors, index=batch.index, dtype="object"))
+
+    return rows.mapInPandas(run, schema)
+
+
+def pooled(call, limit: int = 400, retries: int = 3, wait: float = 0.0):
+    """A hook for ``complete`` from a function of one prompt: up to ``limit`` calls at a time in a task,
+    each tried again up to ``retries`` times; a prompt that still fails gets None. The limit of a
+    job is this times the tasks that run at once."""
+
+    def tried(prompt: str) -> str | None:
+        for i in range(retries + 1):
+            try:
+                return call(prompt)
+            except Exception:  # noqa: BLE001 - the transport's errors are not known here
+                if i < retries:
+                    time.sleep(wait * 2**i)
+        return None
+
+    def hook(prompts: pd.Series) -> pd.Series:
+        with ThreadPoolExecutor(max_workers=max(1, min(limit, len(prompts)))) as pool:
+            return pd.Series(list(pool.map(tried, prompts)), index=prompts.index, dtype="object")
+
+    return hook
+
+
 def append_log(stream: DataFrame, path: str, checkpoint: str, every: str = "5 seconds"):
     """An append-only JSON log of a stream, a micro-batch at a time."""
     return stream.writeStream.format("json").option("checkpointLocation", checkpoint).trigger(processingTime=every).start(path)
