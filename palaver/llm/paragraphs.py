@@ -224,6 +224,8 @@ def passages(docs: DataFrame) -> DataFrame:
     groups = found.groupBy("run").agg(least.alias("first"), most.alias("last"), F.count(F.lit(1)).alias("size"))
     groups = groups.where(~(F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("first.th") == F.col("last.th"))))
     groups = groups.select("run", F.col("first.doc_id").alias("group_doc_id"), F.col("first.th").alias("group_th"), F.col("first.pos").alias("_at"), "size")
+    # written first, so that both sides of the join are plain shuffles and a hot run can be split
+    groups = materialise(groups, "passage-groups", rows=found._palaver_rows, width=48)
     places = found.join(groups, "run").withColumn("shift", F.col("pos") - F.col("_at")).withColumn("end", F.col("pos") + F.col("many")).drop("run", "_at", "many")
     doc = ["doc_id", "th", "group_doc_id", "group_th", "shift"]
     before = Window.partitionBy(*doc).orderBy("pos")
