@@ -37,7 +37,7 @@ _WRITTEN: dict[str, set[str]] = defaultdict(set)
 FILE_BYTES = 16 << 20
 
 
-def materialise(df: DataFrame, label: str, *, rows: int | None = None, width: int = 64) -> DataFrame:
+def materialise(df: DataFrame, label: str, *, rows: int | None = None, width: int = 64, partition_by: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     ``rows`` is an upper bound of the rows, ``width`` their bytes: a table that must be small
@@ -49,14 +49,16 @@ def materialise(df: DataFrame, label: str, *, rows: int | None = None, width: in
     path = shared_dir(spark, label)
     counted = Observation()
     out = df if rows is None else df.coalesce(max(1, -(-rows * width // FILE_BYTES)))
-    out.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    writer = out.observe(counted, F.count(F.lit(1)).alias("n")).write
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     _WRITTEN[spark.sparkContext.applicationId].add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._palaver_path, out._palaver_rows = path, counted.get["n"]
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a written folder."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
     _WRITTEN[spark.sparkContext.applicationId].discard(path)
@@ -66,7 +68,7 @@ def forget(*frames: DataFrame) -> None:
     """Delete what ``materialise`` wrote; only for frames no later plan reads."""
     for df in frames:
         if path := getattr(df, "_palaver_path", None):
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -76,7 +78,7 @@ def release(spark: SparkSession) -> None:
     results are written.
     """
     for path in list(_WRITTEN[spark.sparkContext.applicationId]):
-        _delete(spark, path)
+        delete(spark, path)
 
 
 def row_hash(text: str | Column = "text") -> Column:

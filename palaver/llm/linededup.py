@@ -4,11 +4,13 @@ A line's key is the line without ASCII white space at either end, A-Z lower-case
 Keys of at least ``min_chars`` code points that at least ``min_docs`` documents hold
 lose all their lines except in the document with the largest doc_id.
 
-Documents come in batches of falling doc_id. A batch is reduced to one row per
-key: (key, number of documents, largest doc_id). The keys that the runs have already
-settled (``min_docs`` documents reached; being met in falling order, their largest
-doc_id is final) are taken out by a sort-merge anti-join; the rest is written as a
-new run, sorted by key. ``FANOUT`` runs of a level are merged into one run of the next.
+Documents come in batches of falling doc_id, each read once. A batch is reduced to one row
+per key: (key, number of documents, largest doc_id). Its keys that a run has already settled
+(``min_docs`` documents reached; being met in falling order, their largest doc_id is final)
+are taken out by a sort-merge anti-join with each run in turn; the rest is a new run.
+Whenever a level has ``FANOUT`` runs they are merged into one run of the next level, between
+batches. A run is a table bucketed and sorted by key, with as many buckets as a shuffle has
+partitions, so that neither an anti-join nor a merge shuffles runs: only the batch moves, once.
 Runs live below ``spark.checkpoint.dir``, so a lost executor costs only its tasks.
 
 Keys are two 64-bit hashes with different seeds. A key that most documents hold is
@@ -23,16 +25,19 @@ a key all keep it. Extra columns pass through ``drop_lines`` untouched.
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.common import ASCII_WS, forget, materialise, row_hash
+from palaver.llm.common import ASCII_WS, delete, materialise, row_hash, shared_dir
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-FANOUT = 4
-BATCHES = 4
+#: Runs of a level that are merged into one of the next.
+FANOUT = 2
+#: Rows of a batch, and the most batches (beyond, batches grow).
+BATCH_ROWS, MAX_BATCHES = 60_000, 64
 _LOWEST = -(2**63)
 
 
@@ -50,7 +55,7 @@ def _lines(text: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, th, pos, k1, k2, held) of the lines long enough to count.
+    """(id, th, pos, k1, k2, held, batch) of the lines long enough to count.
 
     ``held`` rows stand for a key of a row, once (pos is -1); the others for a line each.
     With both from one pass, counting documents needs no distinct shuffle.
@@ -62,41 +67,51 @@ def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             i.alias("pos"), F.char_length(k).alias("size"), F.xxhash64(k).alias("k1"), F.xxhash64(F.lit("second"), k).alias("k2")
         ),
     )
-    rows = docs.select(F.col("doc_id").alias("id"), row_hash().alias("th"), F.filter(entry, lambda e: e["size"] >= min_chars).alias("e"))
+    rows = docs.select(F.col("doc_id").alias("id"), row_hash().alias("th"), F.col("_batch").alias("batch"), F.filter(entry, lambda e: e["size"] >= min_chars).alias("e"))
 
     def tagged(array: Column, pos, held: bool) -> Column:
         return F.transform(array, lambda e: F.struct(pos(e).alias("pos"), e["k1"].alias("k1"), e["k2"].alias("k2"), F.lit(held).alias("held")))
 
     distinct = F.array_distinct(F.transform("e", lambda e: F.struct(e["k1"].alias("k1"), e["k2"].alias("k2"))))
     both = F.concat(tagged(F.col("e"), lambda e: e["pos"], False), tagged(distinct, lambda e: F.lit(-1), True))
-    return rows.where(F.size("e") > 0).select("id", "th", F.explode(both).alias("l")).select("id", "th", "l.*")
+    return rows.where(F.size("e") > 0).select("id", "th", "batch", F.explode(both).alias("l")).select("id", "th", "l.*", "batch")
 
 
 class RunStore:
     """Levels of sorted runs (k1, k2, n, top); the newest run of a level comes last."""
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: list[list[DataFrame]] = []
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS):
+        self.spark, self.min_docs = spark, min_docs
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = []
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
-    def _write(self, run: DataFrame, level: int) -> DataFrame:
-        return materialise(run.repartition("k1", "k2").sortWithinPartitions("k1", "k2"), f"line-run-l{level}")
+    def _write(self, run: DataFrame, level: int) -> str:
+        """``run``, dealt by key already, as a table with a sorted file for each bucket."""
+        name = f"line_run_{level}_{uuid.uuid4().hex}"
+        writer = run.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2")
+        writer.option("path", shared_dir(self.spark, name)).saveAsTable(name)
+        return name
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        union = runs[0]
-        for run in runs[1:]:
-            union = union.unionByName(run)
-        if len(runs) == 1:
-            return union
-        return union.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, "k1", "k2")
 
-    def settled(self) -> DataFrame | None:
-        """Keys that ``min_docs`` documents hold, with the largest doc_id."""
-        runs = self.runs()
-        return self._merged(runs).where(F.col("n") >= self.min_docs) if runs else None
+    def _merge(self, a: str, b: str, level: int) -> str:
+        """One run of two, by a full merge join of their buckets; the two are deleted.
+
+        Not by a union: Spark 4.1.2 takes a union of bucketed tables for dealt by key, which it
+        is not when it runs, and sums too little.
+        """
+        left = self.spark.table(a)
+        right = self.spark.table(b).select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.col("n").alias("_n"), F.col("top").alias("_top"))
+        both = left.hint("merge").join(right, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")), "full")
+        n = F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))
+        top = F.greatest("top", "_top")  # skips nulls
+        out = self._write(both.select(F.coalesce("k1", "_1").alias("k1"), F.coalesce("k2", "_2").alias("k2"), n.alias("n"), top.alias("top")), level)
+        self.drop([a, b])
+        return out
 
     def add_batch(self, held: DataFrame) -> None:
         """``held``: one row (k1, k2, id) for each document and key of the batch.
@@ -105,48 +120,69 @@ class RunStore:
         """
         top = F.max(F.coalesce("id", F.lit(_LOWEST))).alias("top")
         batch = held.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), top)
-        known = self.settled()
-        if known is not None:
-            batch = batch.hint("merge").join(known.select("k1", "k2"), ["k1", "k2"], "left_anti")
+        for name in self.runs():
+            settled = self.spark.table(name).where(F.col("n") >= self.min_docs).select(F.col("k1").alias("_1"), F.col("k2").alias("_2"))
+            # n keeps the join above the sums: a hot key is summed before it moves
+            met = (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & (F.col("n") > 0)
+            batch = batch.hint("merge").join(settled, met, "left_anti")
         if not self.levels:
             self.levels.append([])
+        batch = self._dealt(batch)  # as the sums are dealt already, unless small partitions were merged
         self.levels[0].append(self._write(batch, 0))
         level = 0
-        while len(self.levels[level]) >= self.fanout:
+        while len(self.levels[level]) >= FANOUT:
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._write(self._merged(self.levels[level]), level + 1))
+            self.levels[level + 1].append(self._merge(*self.levels[level], level + 1))
             self.levels[level] = []
             level += 1
 
-
-def _batch_ranges(lines: DataFrame, batches: int) -> list[Column]:
-    """Conditions on id that part the rows in ranges of falling id; a null id comes last."""
-    marks = F.array(*[F.lit(i / batches) for i in range(1, batches)])
-    cuts = lines.agg(F.percentile_approx("id", marks, F.lit(1000)).alias("c")).first()["c"] if batches > 1 else None
+    def settled(self) -> DataFrame:
+        """Keys that ``min_docs`` documents hold, with the largest doc_id: all runs merged, small ones first."""
+        runs = self.runs()
+        while len(runs) > 1:
+            runs = [self._merge(runs[0], runs[1], len(self.levels)), *runs[2:]]
+        self.levels = [runs]
+        return self.spark.table(runs[0]).where(F.col("n") >= self.min_docs)
+
+    def drop(self, runs: list[str]) -> None:
+        """Delete runs that nothing reads any more."""
+        for name in runs:
+            path = self.spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
+            self.spark.sql(f"DROP TABLE {name}")
+            delete(self.spark, path)
+
+
+def _with_batch(docs: DataFrame, batches: int | None) -> tuple[DataFrame, int]:
+    """``docs`` with _batch, ranges of falling doc_id from 0 on (a null id is in the last), and their number."""
+    rows = docs.count()
+    wanted = max(1, min(MAX_BATCHES, rows // BATCH_ROWS)) if batches is None else batches
+    marks = F.array(*[F.lit(i / wanted) for i in range(1, wanted)])
+    cuts = docs.agg(F.percentile_approx("doc_id", marks, F.lit(10_000)).alias("c")).first()["c"] if wanted > 1 else None
     cuts = sorted(set(cuts or []), reverse=True)
-    if not cuts:
-        return [F.lit(True)]
-    out = [F.col("id") > cuts[0]]
-    out += [(F.col("id") > low) & (F.col("id") <= high) for high, low in zip(cuts, cuts[1:])]
-    return [*out, (F.col("id") <= cuts[-1]) | F.col("id").isNull()]
-
-
-def find_duplicates(lines: DataFrame, *, batches: int = BATCHES, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(id, th, pos) of the lines to drop. ``lines``: ``keyed_lines``, materialised."""
-    store = RunStore(lines.sparkSession, min_docs)
-    for of_batch in _batch_ranges(lines, batches):
-        store.add_batch(lines.where("held").where(of_batch).select("id", "k1", "k2"))
+    batch = F.lit(0)
+    for cut in cuts:
+        batch = batch + (F.coalesce(F.col("doc_id") <= cut, F.lit(True))).cast("int")
+    return docs.withColumn("_batch", batch), len(cuts) + 1
+
+
+def find_duplicates(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
+    """(id, th, pos) of the lines to drop."""
+    marked, number = _with_batch(docs.select("doc_id", "text"), batches)
+    lines = keyed_lines(marked, min_chars)
+    lines = materialise(lines, "line-keys", partition_by="batch") if number > 1 else materialise(lines, "line-keys")
+    store = RunStore(docs.sparkSession, min_docs)
+    for i in range(number):
+        store.add_batch(lines.where("held").where(F.col("batch") == i).select("id", "k1", "k2"))
     known = materialise(store.settled(), "line-settled")
-    forget(*store.runs())
+    store.drop(store.runs())
     gone = lines.where("not held").join(known.select("k1", "k2", "top"), ["k1", "k2"])
     return gone.where(F.coalesce("id", F.lit(_LOWEST)) != F.col("top")).select("id", "th", "pos")
 
 
-def _rebuilt(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
+def _rebuilt(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with _lines and _gone (positions to drop; null: none)."""
-    lines = materialise(keyed_lines(docs, min_chars), "line-keys")
-    gone = find_duplicates(lines, batches=batches, min_docs=min_docs)
+    gone = find_duplicates(docs, **options)
     # the positions of a row are no more than its lines; equal rows share them
     per_row = gone.groupBy("id", "th").agg(F.collect_set("pos").alias("_gone"))
     left = docs.withColumn("_th", row_hash())
@@ -161,11 +197,9 @@ def _kept_text() -> Column:
     return F.when(F.col("_gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(joined)
 
 
-def dedup_lines(
-    docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES
-) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
     """doc_id, kept_text, n_lines (before) and n_dropped, for every row of ``docs``."""
-    got = _rebuilt(docs.select("doc_id", "text"), min_chars, min_docs, batches)
+    got = _rebuilt(docs.select("doc_id", "text"), min_chars=min_chars, min_docs=min_docs, batches=batches)
     return got.select(
         "doc_id",
         _kept_text().alias("kept_text"),
@@ -177,7 +211,6 @@ def dedup_lines(
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with ``text`` reduced (null stays null) and n_chars, where present, counted anew."""
     names = docs.columns
-    options = {"min_chars": MIN_CHARS, "min_docs": MIN_DOCS, "batches": BATCHES} | options
     rest = [c for c in names if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest") if rest else F.lit(0).alias("_rest"))
     got = _rebuilt(packed, **options).withColumn("_text", F.when(F.col("text").isNotNull(), _kept_text()))
