@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 #: What ``materialise`` wrote and ``forget`` did not delete, by application.
 _WRITTEN: dict[str, set[str]] = defaultdict(set)
 #: Aimed-at size of a written file where a bound of the rows is known.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 4 << 20
 
 
 def materialise(df: DataFrame, label: str, *, rows: int | None = None, width: int = 64, partition_by: str | None = None) -> DataFrame:
