@@ -54,22 +54,25 @@ def group_stream(rows: DataFrame, key: str, n: int = GROUP_SIZE, timeout_ms: int
             state.remove()
             yield pd.DataFrame({key: [name[0]], "size": [len(held)], "reason": ["timeout"], "members": [held]})
             return
+        now, done = state.getCurrentProcessingTimeMs(), []
+        if held and deadline <= now:  # a key with new rows is not called for its time-out
+            done.append(("timeout", held))
+            held, deadline = [], None
         for batch in batches:
             held += batch["payload"].tolist()
-        done = []
         while len(held) >= n:
-            done.append(held[:n])
+            done.append(("count", held[:n]))
             held = held[n:]
             deadline = None  # what is left has just come
         if held:
-            now = state.getCurrentProcessingTimeMs()
             deadline = deadline or now + timeout_ms
             state.update((held, deadline))
             state.setTimeoutDuration(max(1, deadline - now))
         elif state.exists:
             state.remove()
         if done:
-            yield pd.DataFrame({key: [name[0]] * len(done), "size": [n] * len(done), "reason": ["count"] * len(done), "members": done})
+            reasons, members = [d[0] for d in done], [d[1] for d in done]
+            yield pd.DataFrame({key: [name[0]] * len(done), "size": list(map(len, members)), "reason": reasons, "members": members})
 
     return rows.groupBy(key).applyInPandasWithState(flush, out_schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
