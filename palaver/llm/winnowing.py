@@ -1,10 +1,15 @@
 """Document fingerprints by winnowing (DataFrame operations only).
 
 A text is a sequence of tokens: runs without white space, and each character of scripts
-that are written without spaces. Every run of ``K`` tokens has a 64-bit hash. Of each window
-of ``W`` successive hashes the least is picked, the rightmost of equal ones, with its position
-(the number of its first token). So two texts that share a passage of at least ``W + K - 1``
-tokens share a pick, whatever stands around it, and a match of picks is no shorter than ``K``.
+that are written without spaces (or, where asked for, all its characters). Each token is hashed
+once. The hash of ``K`` successive tokens is a cyclic polynomial: tokens' hashes, rotated by
+their distance to the run's end, joined by exclusive or, so a run's hash follows from that of
+the run before by one rotation, the token that leaves and the one that enters. Arrays allow no
+running state, so the same numbers are made by doubling: runs of 2m tokens from two of m, which
+is log2(K) element-wise steps. Of each window of ``W`` successive hashes the least is picked,
+the rightmost of equal ones, with its position (the number of its first token). So two texts
+that share a passage of at least ``W + K - 1`` tokens share a pick, whatever stands around it,
+and a match of picks is no shorter than ``K``.
 
 Hash and negated position are joined in one number, so window minima with rightmost ties come
 from log2(W) element-wise minima of an array and its shifted self. That is done in blocks of
@@ -14,6 +19,7 @@ Defined results: a null text is empty; a text without tokens has no pick, one wi
 ``K`` tokens is one run, one with fewer than ``W`` runs one window. Likeness is the Jaccard
 similarity of the distinct hashes, 1 if both are empty. Rows are ordered by doc_id, null last,
 then by the hash of the text; equal rows are each other's next. Texts hold up to 2**27 tokens.
+Rows without a doc_id are dealt by that hash, so that many of them do not meet in one task.
 Extra columns do no harm.
 """
 
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm.common import row_hash
 
-K, W = 5, 16
+K, W = 4, 8
 #: Windows of a block.
 BLOCK = 4096
 #: Scripts whose characters are tokens by themselves (fixed values).
@@ -41,13 +47,41 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+def tokens(text: Column, unit: str = "token") -> Column:
+    """The tokens of ``text``, or its code points if ``unit`` is "character"."""
+    text = F.coalesce(text, F.lit(""))
+    if unit == "character":
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def _run_hash(words: Column, at: Column, k: int) -> Column:
-    """Hash of the tokens from 0-based ``at``; those beyond the end do not count."""
-    return F.xxhash64(*[F.get(words, at + i if i else at) for i in range(k)])
+def _turned(value: Column, by: int) -> Column:
+    """64 bits rotated to the left."""
+    return F.shiftleft(value, by).bitwiseOR(F.shiftrightunsigned(value, 64 - by))
+
+
+def _joined(left: Column, right: Column, at: int, size: int) -> Column:
+    """Hashes of runs: those of ``at`` tokens in ``left``, each with the ``size`` tokens after it."""
+    return F.zip_with(left, F.slice(right, at + 1, F.size(right)), lambda x, y: _turned(x, size).bitwiseXOR(y))
+
+
+def rolled(hashes: Column, k: int) -> Column:
+    """Cyclic polynomial of each ``k`` successive hashes; of all of them if they are fewer."""
+    short = F.array(F.aggregate(hashes, F.lit(0).cast("bigint"), lambda had, h: _turned(had, 1).bitwiseXOR(h)))
+
+    def runs(done: Column, length: int, power: Column, size: int) -> Column:
+        """``done``: of ``length`` tokens, the lower bits of k so far; ``power``: of ``size``, a power of two."""
+        if k & size:
+            longer = _joined(power, done, size, length) if length else power
+            length += size
+        else:
+            longer = done
+        if length == k:
+            return F.slice(longer, F.lit(1), F.greatest(F.size(hashes) - k + 1, F.lit(0)))
+        grown = lambda d: _bind(_joined(power, power, size, size), lambda p: runs(d, length, p, 2 * size))
+        return _bind(longer, grown) if k & size and length > size else grown(longer)
+
+    return F.when(F.size(hashes) < k, short).otherwise(runs(hashes, 0, hashes, 1))
 
 
 def _minima(keys: Column, width: int) -> Column:
@@ -75,26 +109,26 @@ def _picked(keys: Column, w: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, block)))
 
 
-def picks(text: Column, k: int = K, w: int = W) -> Column:
+def picks(text: Column, k: int = K, w: int = W, unit: str = "token") -> Column:
     """struct<positions, hashes> of the picks of ``text``, in order."""
+    # hash bits above, so that signed order is theirs; below, less for positions further right
+    key = lambda h, i: F.shiftleft(h, _POSITION_BITS) + (F.lit(_LAST) - i)
+    place = lambda p: (F.lit(_LAST) - p.bitwiseAND(F.lit(_LAST))).cast("int")
 
-    def of(words: Column) -> Column:
-        runs = F.greatest(F.size(words) - k + 1, F.lit(1))
-        # hash bits above, so that signed order is theirs; below, less for positions further right
-        key = lambda i: F.shiftleft(_run_hash(words, i, k), _POSITION_BITS) + (F.lit(_LAST) - i)
-        chosen = _bind(F.transform(F.sequence(F.lit(0), runs - 1), key), lambda keys: _picked(keys, w))
-        places = F.transform(chosen, lambda p: (F.lit(_LAST) - p.bitwiseAND(F.lit(_LAST))).cast("int"))
-        found = _bind(places, lambda at: F.struct(at.alias("positions"), F.transform(at, lambda i: _run_hash(words, i, k)).alias("hashes")))
+    def of(runs: Column) -> Column:
+        chosen = _bind(F.transform(runs, key), lambda keys: F.transform(_picked(keys, w), place))
+        found = _bind(chosen, lambda at: F.struct(at.alias("positions"), F.transform(at, lambda i: F.get(runs, i)).alias("hashes")))
         none = F.struct(F.array().cast("array<int>").alias("positions"), F.array().cast("array<bigint>").alias("hashes"))
-        return F.when(F.size(words) == 0, none).otherwise(found)
+        return F.when(F.size(runs) == 0, none).otherwise(found)
 
-    return _bind(tokens(text), of)
+    hashes = F.transform(tokens(text, unit), lambda t: F.xxhash64(t))
+    return _bind(hashes, lambda h: _bind(F.when(F.size(h) == 0, h).otherwise(rolled(h, k)), of))
 
 
-def fingerprint(docs: DataFrame, *, k: int = K, w: int = W) -> DataFrame:
+def fingerprint(docs: DataFrame, *, k: int = K, w: int = W, unit: str = "token") -> DataFrame:
     """doc_id, n_chars, ``positions`` and ``hashes`` of the picks, of every row."""
     size = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
-    return docs.select("doc_id", size.alias("n_chars"), picks(F.col("text"), k, w).alias("_p")).select("doc_id", "n_chars", "_p.*")
+    return docs.select("doc_id", size.alias("n_chars"), picks(F.col("text"), k, w, unit).alias("_p")).select("doc_id", "n_chars", "_p.*")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -109,21 +143,28 @@ def digest(picked: Column) -> Column:
 
 
 def _buckets(docs: DataFrame) -> Column:
-    """Bucket of a doc_id: neighbours in order share it, but at the cuts. Cuts are quantiles."""
-    rows = docs.count()
+    """Bucket of a row: neighbours in order share it, but at the cuts. Needs the text's hash ``th``.
+
+    Cuts are quantiles of doc_id. Rows without one come last in order, so they take buckets
+    below zero, by equal ranges of their hash.
+    """
+    rows, unnamed = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    parts = max(1, -(-unnamed // BUCKET_ROWS))
+    share = F.floor((F.col("th") / F.lit(2.0**64) + F.lit(0.5)) * parts)
+    last = F.least(F.lit(parts - 1), F.greatest(F.lit(0), share)) - parts
     wanted = max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))
     cuts: list[int] = []
     if wanted > 1:
         at = F.array(*[F.lit(i / wanted) for i in range(1, wanted)])
         cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", at, F.lit(10 * wanted)).alias("c")).first()["c"] or []))
     if not cuts:
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
+        return F.when(F.col("doc_id").isNull(), last).otherwise(0).cast("int")
     width = max(2, round(len(cuts) ** 0.5))
     coarse = F.lit(cuts[::width])
     group = F.size(F.filter(coarse, lambda c: c <= F.col("doc_id"))) - 1
     fine = F.size(F.filter(F.slice(F.lit(cuts), group * width + 1, F.lit(width)), lambda c: c <= F.col("doc_id")))
     inside = F.when(F.col("doc_id") < cuts[0], 0).otherwise(group * width + fine)
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(inside).cast("int")
+    return F.when(F.col("doc_id").isNull(), last).otherwise(inside).cast("int")
 
 
 def with_next(docs: DataFrame, columns: dict | None = None) -> DataFrame:
@@ -133,7 +174,7 @@ def with_next(docs: DataFrame, columns: dict | None = None) -> DataFrame:
     row of a bucket is also sent, as a guest, to the bucket whose last row it follows.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("bucket", _buckets(docs)).withColumn("th", row_hash())
+    own = own.withColumn("th", row_hash()).withColumn("bucket", _buckets(docs))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th")
     heads = own.groupBy("bucket").agg(F.max(order).alias("head"))
     up = F.lead("bucket").over(Window.orderBy("bucket"))  # a row per bucket
@@ -150,18 +191,18 @@ def with_next(docs: DataFrame, columns: dict | None = None) -> DataFrame:
     return dealt.where("not guest").drop("bucket", "th", "guest")
 
 
-def compare_with_edits(docs: DataFrame, *, k: int = K, w: int = W) -> DataFrame:
+def compare_with_edits(docs: DataFrame, *, k: int = K, w: int = W, unit: str = "token") -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likenesses.
 
     The edited text has its last floor(n / 2) code points replaced by the first as many of
     the next document's.
     """
-    got = with_next(docs, {"picked": picks(F.col("text"), k, w)})
+    got = with_next(docs, {"picked": picks(F.col("text"), k, w, unit)})
     got = got.withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     kept = F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half)
     got = got.withColumn("edited", F.concat(kept, F.substring("next_text", F.lit(1), half)))
-    got = got.withColumn("edited_picked", picks(F.col("edited"), k, w))
+    got = got.withColumn("edited_picked", picks(F.col("edited"), k, w, unit))
     hashes = {name: F.col(f"{name}.hashes") for name in ("picked", "edited_picked", "next_picked")}
     return got.select(
         "doc_id",

@@ -165,19 +165,24 @@ def test_mixing_many_levels(spark, monkeypatch):
 # --- 7
 
 
-def brute_picks(text, k=winnowing.K, w=winnowing.W):
-    words = re.findall(r"[^\s]+", text)
+def brute_picks(text, k=winnowing.K, w=winnowing.W, unit="token"):
+    """Picks by a hash that rolls: the token that leaves goes, the one that enters comes."""
+    words = list(text) if unit == "character" else re.findall(r"[^\s]+", text)
     if not words:
         return [], []
-    runs = max(len(words) - k + 1, 1)
-    hashes = []
-    for i in range(runs):
-        h = 42
-        for word in words[i : i + k]:
-            h = xxhash.xxh64_intdigest(word.encode(), seed=h)
-        hashes.append(ctypes.c_int64(h).value)
-    key = [(ctypes.c_int64(h << 27 & (2**64 - 1)).value >> 27, -i) for i, h in enumerate(hashes)]
-    at = sorted({-min(key[s : s + w])[1] for s in range(max(runs - w + 1, 1))})
+    mask = 2**64 - 1
+    turn = lambda x, by: ((x << by % 64) | (x >> 64 - by % 64)) & mask
+    single = [xxhash.xxh64_intdigest(word.encode(), seed=42) for word in words]
+    state = 0
+    for h in single[:k]:
+        state = turn(state, 1) ^ h
+    hashes = [state]
+    for leaves, enters in zip(single, single[k:]):
+        state = turn(state, 1) ^ turn(leaves, k) ^ enters
+        hashes.append(state)
+    hashes = [ctypes.c_int64(h).value for h in hashes]
+    key = [(ctypes.c_int64(h << 27 & mask).value >> 27, -i) for i, h in enumerate(hashes)]
+    at = sorted({-min(key[s : s + w])[1] for s in range(max(len(hashes) - w + 1, 1))})
     return at, [hashes[i] for i in at]
 
 
@@ -188,6 +193,35 @@ def test_winnowing(spark):
     for i, t in enumerate(texts):
         assert (got[i].positions, got[i].hashes) == brute_picks(t or ""), i
         assert got[i].n_chars == len(t or "")
+    few = list(enumerate([*texts[:6], "x\U0001f600y \u00e9" * 9]))
+    for k, w, unit in ((1, 4, "token"), (5, 16, "token"), (7, 2, "token"), (6, 8, "character"), (16, 16, "character")):
+        for r in winnowing.fingerprint(docs(spark, few), k=k, w=w, unit=unit).collect():
+            assert (r.positions, r.hashes) == brute_picks(few[r.doc_id][1], k, w, unit), (r.doc_id, k, unit)
+
+
+def test_shared_passages_share_a_pick(spark):
+    rng = random.Random(15)
+    length = winnowing.K + winnowing.W - 1
+    rows = []
+    for i in range(60):
+        passage = " ".join(f"p{i}w{j}" for j in range(length))
+        rows += [(2 * i + side, f"{prose(rng, rng.randrange(40))} {passage} {prose(rng, rng.randrange(40))}") for side in (0, 1)]
+    got = {r.doc_id: set(r.hashes) for r in winnowing.fingerprint(docs(spark, rows)).collect()}
+    assert all(got[2 * i] & got[2 * i + 1] for i in range(60))
+
+
+def test_next_of_many_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(winnowing, "BUCKET_ROWS", 20)
+    rng = random.Random(16)
+    rows = [(i if i < 150 else None, prose(rng, 5) + f" {i}") for i in range(400)] + [(None, "same")] * 30
+    got = winnowing.with_next(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    # each text is the next of one row, and the chain of the named ends at those without a name
+    assert sorted(r.next_text for r in got) == sorted(t for _, t in rows)
+    named = {r.doc_id: r.next_text for r in got if r.doc_id is not None}
+    assert all(named[i] == rows[i - 1][1] for i in range(1, 150))
+    unnamed = {t for i, t in rows if i is None}
+    assert named[0] in unnamed and sum(r.next_text == rows[149][1] for r in got if r.doc_id is None) == 1
 
 
 def test_edited_texts(spark):
