@@ -52,7 +52,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mixing.weigh(load(spark, sf_dir, "documents"))
+    got = mixing.weigh(load(spark, sf_dir, "documents"), columns=["doc_id"])
     return got.select(
         F.col("_row.doc_id").alias("doc_id"), "source", "lang", "topic", "n_tokens", F.round("p", 6).alias("p"), "kept"
     )

@@ -154,25 +154,37 @@ def _rake_wide(cells: DataFrame, targets: dict[str, dict[str, float]] | None = N
     return materialise(out.select(*MARGINS, "tokens", "weight", "p"), "mix-raked")
 
 
-def _marked(docs: DataFrame, topic: str | None) -> DataFrame:
-    """doc_id, text and _rest of ``docs``, with source, lang, topic and n_tokens as levels."""
+def _marked(docs: DataFrame, topic: str | None, seed: int, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` as _row, with source, lang, topic, n_tokens and draw."""
     level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) if c in docs.columns else F.lit(NONE)
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    out = docs.select(rest, level("source").alias("source"), level("lang").alias("lang"), n_tokens(F.col("text")).alias("n_tokens"))
-    made = F.coalesce(F.col(f"_row.`{topic}`").cast("string"), F.lit(NONE)) if topic else form_topic(F.col("_row.text"), F.col("n_tokens"))
-    return out.withColumn("topic", made)
+    row, tokens = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), n_tokens(F.col("text"))
+    made = F.coalesce(F.col(f"`{topic}`").cast("string"), F.lit(NONE)) if topic else F.lit(None).cast("string")
+    draw = uniform(F.col("doc_id"), F.col("text"), seed)
+    out = docs.select(
+        row, F.col("text").alias("_text"), level("source").alias("source"), level("lang").alias("lang"), made.alias("topic"), tokens.alias("n_tokens"), draw.alias("draw")
+    )
+    if not topic:
+        out = out.withColumn("topic", form_topic(F.col("_text"), F.col("n_tokens")))
+    return out.drop("_text")
 
 
-def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, topic: str | None = None, seed: int = 0, **options) -> DataFrame:
-    """Every row of ``docs`` as ``_row``, with its levels, n_tokens, weight, p, draw and kept."""
-    marked = _marked(docs, topic)
+def weigh(
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, topic: str | None = None, seed: int = 0, columns: list[str] | None = None, **options
+) -> DataFrame:
+    """Every row of ``docs`` as ``_row``, with its levels, n_tokens, weight, p, draw and kept.
+
+    ``columns`` names what ``_row`` has, all columns if None. Without the text among them the
+    counted rows are narrow: they are written once, so that each text is read once.
+    """
+    marked = _marked(docs, topic, seed, docs.columns if columns is None else columns)
+    if columns is not None and "text" not in columns:
+        marked = materialise(marked, "mix-rows")
     cells = materialise(marked.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     if cells.count() <= CELLS_AT_ONCE:
         raked = F.broadcast(rake(cells, targets, **options).drop("tokens"))
     else:
         raked = _rake_wide(cells, targets, **options).drop("tokens")
     got = marked.join(raked, list(MARGINS), "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
-    got = got.withColumn("draw", uniform(F.col("_row.doc_id"), F.col("_row.text"), seed))
     return got.withColumn("kept", F.col("draw") < F.col("p"))
 
 

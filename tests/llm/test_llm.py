@@ -134,6 +134,8 @@ def test_mixing(spark):
     edge = mixing.weigh(docs(spark, edge_rows()))
     assert edge.count() == len(edge_rows()) and edge.where("p < 0 or p > 1 or p is null").count() == 0
     assert mixing.sample(docs(spark, [])).count() == 0
+    wide, narrow = (mixing.weigh(d, targets, columns=c).select("_row.doc_id", "n_tokens", "topic", "p", "draw", "kept").collect() for c in (None, ["doc_id"]))
+    assert sorted(wide) == sorted(narrow)
 
 
 def test_mixing_many_levels(spark, monkeypatch):
