@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import langid, license, linededup, mixing, neardup, packing, paragraphs, quality, warc, winnowing
+from palaver.llm import funnel, langid, license, linededup, mixing, neardup, packing, paragraphs, quality, warc, winnowing
 from palaver.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,9 +86,14 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeats(docs).unionByName(paragraphs.passages(docs), allowMissingColumns=True).drop("th")
 
 
+def op12_funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.funnel_counts(load(spark, sf_dir, "clicks")).withColumnRenamed("client", "client_id")
+
+
 def queries() -> dict[str, Query]:
     found = [op1_license_scan, op2_language_id, op3_warc_derivatives, op4_line_dedup, op5_quality_rules]
     found += [op6_source_mixing, op7_winnowing, op8_packing, op9_minhash_near_dedup, op10_paragraph_dedup]
+    found += [op12_funnel_counts]
     return {f.__name__: f for f in found}
 
 
@@ -188,5 +193,27 @@ SELECT n.doc_id, n.n_shingles, walk.component_id, n.doc_id = walk.component_id A
 """
 
 
+def _op12_sql() -> str:
+    sql = "WITH d AS (SELECT DISTINCT client_id, kind, arrived_at AS t FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL)"
+    for f in funnel.FUNNELS:
+        a = f.name
+        sql += f", {a}x AS (SELECT client_id, t FROM d WHERE kind = '{f.exclude}')"
+        sql += f", {a}1 AS (SELECT client_id, t AS t1, t, 0::BIGINT AS took FROM d WHERE kind = '{f.steps[0]}')"
+        for k, kind in enumerate(f.steps[1:], 2):
+            sql += f""", {a}k{k} AS (SELECT client_id, t FROM d WHERE kind = '{kind}'),
+{a}n{k} AS (SELECT p.client_id, p.t1, p.t AS before, n.t FROM {a}{k - 1} p ASOF JOIN {a}k{k} n ON p.client_id = n.client_id AND p.t < n.t),
+{a}{k} AS (SELECT n.client_id, n.t1, n.t, epoch_us(n.t) - epoch_us(n.before) AS took
+  FROM {a}n{k} n ASOF LEFT JOIN {a}x x ON n.client_id = x.client_id AND n.before < x.t
+  WHERE epoch_us(n.t) - epoch_us(n.t1) <= {f.horizon} AND (x.t IS NULL OR x.t > n.t))"""
+    every = " UNION ALL ".join(f"SELECT '{f.name}' AS funnel, client_id, {k} AS step, took FROM {f.name}{k}" for f in funnel.FUNNELS for k in range(1, 5))
+    n = ", ".join(f"count(*) FILTER (WHERE step = {k}) AS n{k}" for k in range(1, 5))
+    t = ", ".join(f"max(took) FILTER (WHERE step = {k} AND place = (25 * size + 99) // 100) AS t{k}" for k in range(2, 5))
+    return sql + f""", a AS ({every}), r AS (
+  SELECT *, row_number() OVER (PARTITION BY funnel, client_id, step ORDER BY took) AS place, count(*) OVER (PARTITION BY funnel, client_id, step) AS size FROM a
+), g AS (SELECT funnel, client_id, {n}, max(step)::INTEGER AS deepest, {t} FROM r GROUP BY funnel, client_id)
+SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _OP4_SQL, "op6_source_mixing": _op6_sql(), "op9_minhash_near_dedup": _OP9_SQL}
+    return {"op12_funnel_counts": _op12_sql(), "op4_line_dedup": _OP4_SQL, "op6_source_mixing": _op6_sql(), "op9_minhash_near_dedup": _OP9_SQL}
