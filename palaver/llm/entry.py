@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import funnel, langid, license, linededup, mixing, neardup, packing, paragraphs, quality, warc, winnowing
+from palaver.llm import funnel, langid, license, linededup, mixing, neardup, packing, paragraphs, quality, tandem, warc, winnowing
 from palaver.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,10 +91,33 @@ def op12_funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.funnel_counts(load(spark, sf_dir, "clicks")).withColumnRenamed("client", "client_id")
 
 
+def repeated(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, of every tenth document (by the hash of its id) with a planted period towards the end."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    start, n = h // 10 % len(words), len(words)
+    period = 1 + (n - start) // (3 + h // 10 % 8)
+    return (words[:start] + words[start : start + period] * -(-(n - start) // period))[:n]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tandem.periodic_runs(load(spark, sf_dir, "documents"), edit=repeated)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return got.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.*",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     found = [op1_license_scan, op2_language_id, op3_warc_derivatives, op4_line_dedup, op5_quality_rules]
     found += [op6_source_mixing, op7_winnowing, op8_packing, op9_minhash_near_dedup, op10_paragraph_dedup]
-    found += [op12_funnel_counts]
+    found += [op12_funnel_counts, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 
