@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import funnel, langid, license, linededup, mixing, neardup, packing, paragraphs, quality, tandem, warc, winnowing
+from palaver.llm import funnel, jaccard, langid, license, linededup, mixing, neardup, packing, paragraphs, quality, tandem, warc, winnowing
 from palaver.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,10 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeats(docs).unionByName(paragraphs.passages(docs), allowMissingColumns=True).drop("th")
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(load(spark, sf_dir, "documents")).drop("component_size")
+
+
 def op12_funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.funnel_counts(load(spark, sf_dir, "clicks")).withColumnRenamed("client", "client_id")
 
@@ -117,7 +121,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = [op1_license_scan, op2_language_id, op3_warc_derivatives, op4_line_dedup, op5_quality_rules]
     found += [op6_source_mixing, op7_winnowing, op8_packing, op9_minhash_near_dedup, op10_paragraph_dedup]
-    found += [op12_funnel_counts, op13_periodic_runs]
+    found += [op11_ngram_jaccard_join, op12_funnel_counts, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 
@@ -190,14 +194,17 @@ SELECT doc_id, source, lang, topic, n_tokens, round(prob, 6) AS p, draw < prob A
 """
 
 
-_OP9_SQL = """
+def _near_sql(k: int, percent: int, last: str) -> str:
+    """Components of documents by the Jaccard similarity of k-word shingles (percent of 100)."""
+    shingle = " || ' ' || ".join(f"words[i + {j}]" for j in range(k))
+    return f"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\\x20\\x09-\\x0D]+') AS words
   FROM documents
 ), s AS (
-  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
-    ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS set
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {k} THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - {k} + 2), lambda i: {shingle})) END AS set
   FROM w
 ), n AS (SELECT doc_id, len(set)::BIGINT AS n_shingles FROM s),
 u AS (SELECT doc_id, unnest(set) AS h FROM s),
@@ -205,7 +212,7 @@ o AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS inter FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), e AS (
   SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
-  WHERE 100 * inter >= 80 * (p.n_shingles + q.n_shingles - inter)
+  WHERE 100 * inter >= {percent} * (p.n_shingles + q.n_shingles - inter)
 ), walk AS (
   WITH RECURSIVE r(doc_id, reached) AS (
     SELECT doc_id, doc_id FROM n
@@ -213,7 +220,7 @@ o AS (
     SELECT r.doc_id, CASE WHEN e.x = r.reached THEN e.y ELSE e.x END FROM r JOIN e ON e.x = r.reached OR e.y = r.reached
   ) SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id
 )
-SELECT n.doc_id, n.n_shingles, walk.component_id, n.doc_id = walk.component_id AS kept FROM n JOIN walk USING (doc_id)
+SELECT n.doc_id, n.n_shingles, walk.component_id{last} FROM n JOIN walk USING (doc_id)
 """
 
 
@@ -240,4 +247,4 @@ SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_funnel_counts": _op12_sql(), "op4_line_dedup": _OP4_SQL, "op6_source_mixing": _op6_sql(), "op9_minhash_near_dedup": _OP9_SQL}
+    return {"op12_funnel_counts": _op12_sql(), "op4_line_dedup": _OP4_SQL, "op6_source_mixing": _op6_sql(), "op9_minhash_near_dedup": _near_sql(2, 80, ", n.doc_id = walk.component_id AS kept"), "op11_ngram_jaccard_join": _near_sql(3, 90, "")}
