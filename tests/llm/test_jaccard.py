@@ -122,7 +122,7 @@ def test_empty_parts_meet(monkeypatch):
 
 def test_random_hashes_rarely_share_tiles():
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64)) for _ in range(50)]
+    sets = [np.unique(rng.integers(0, 1 << 64, 900, dtype=np.uint64)) for _ in range(50)]
     keys = [set(jaccard.tiles(s, 90).tolist()) for s in sets]
     assert sum(len(a & b) for a in keys for b in keys if a is not b) == 0
     assert neardup.Shingler(3)("a b c d").tolist() == sorted(neardup.Shingler(3)("a b c d").tolist())
