@@ -165,7 +165,7 @@ SELECT post_id, comment_id, max(up) OVER (PARTITION BY post_id) - up AS new_idx
 """)
 def last_target_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
-    return threads.last_target_chain(threads.reply_chains(edges), edges.where("idx % 2 = 0").select("post_id", "idx"))
+    return threads.last_target_chain(edges, edges.where("idx % 2 = 0").select("post_id", "idx"))
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,10 +341,24 @@ def copy_scan_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_RUNS} SELECT doc_id, item_id, response_start, response_end, source_start, tokens FROM r")
 def copy_scan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _copies(spark, sf_dir, 8).drop("d", "island")
+    return _copies(spark, sf_dir, 8)
 
 
-@query()
+_CLASH = "s.response_start < {p}.e AND {p}.s < s.response_end"
+
+
+def _greedy_sql() -> str:
+    """Three times the best span that meets none of those chosen before."""
+    best = "arg_max(struct_pack(s := s.response_start, e := s.response_end, n := s.tokens), s.tokens * 1000000000 - s.response_start)"
+    return f"""WITH {_RUNS}, s AS (SELECT DISTINCT doc_id, response_start, response_end, tokens FROM r),
+c1 AS (SELECT doc_id, {best} AS p1 FROM s GROUP BY 1),
+c2 AS (SELECT c1.doc_id, any_value(p1) AS p1, {best} AS p2 FROM s JOIN c1 USING (doc_id) WHERE NOT ({_CLASH.format(p="p1")}) GROUP BY 1),
+c3 AS (SELECT c2.doc_id, {best} AS p3 FROM s JOIN c2 USING (doc_id) WHERE NOT ({_CLASH.format(p="p1")}) AND NOT ({_CLASH.format(p="p2")}) GROUP BY 1),
+picked AS (SELECT doc_id, p1 AS p FROM c1 UNION ALL SELECT doc_id, p2 FROM c2 UNION ALL SELECT doc_id, p3 FROM c3)
+SELECT doc_id, p.n AS tokens, p.s AS response_start, p.e AS response_end FROM picked"""
+
+
+@query(_greedy_sql())
 def copy_scan_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = copyscan.greedy(_copies(spark, sf_dir, 8), ["doc_id"])
     return got.select("doc_id", F.explode("chosen").alias("c")).select("doc_id", (-F.col("c.o")).alias("tokens"), F.col("c.s").alias("response_start"), F.col("c.e").alias("response_end"))
