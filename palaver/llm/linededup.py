@@ -36,8 +36,8 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 #: Runs of a level that are merged into one of the next.
 FANOUT = 2
-#: Rows of a batch, and the most batches (beyond, batches grow).
-BATCH_ROWS, MAX_BATCHES = 60_000, 64
+#: Rows of a batch, and the fewest and most batches (of small tables batches are smaller, of very large ones larger).
+BATCH_ROWS, MIN_BATCHES, MAX_BATCHES = 60_000, 4, 64
 _LOWEST = -(2**63)
 
 
@@ -156,7 +156,7 @@ class RunStore:
 def _with_batch(docs: DataFrame, batches: int | None) -> tuple[DataFrame, int]:
     """``docs`` with _batch, ranges of falling doc_id from 0 on (a null id is in the last), and their number."""
     rows = docs.count()
-    wanted = max(1, min(MAX_BATCHES, rows // BATCH_ROWS)) if batches is None else batches
+    wanted = max(MIN_BATCHES, min(MAX_BATCHES, rows // BATCH_ROWS)) if batches is None else batches
     marks = F.array(*[F.lit(i / wanted) for i in range(1, wanted)])
     cuts = docs.agg(F.percentile_approx("doc_id", marks, F.lit(10_000)).alias("c")).first()["c"] if wanted > 1 else None
     cuts = sorted(set(cuts or []), reverse=True)

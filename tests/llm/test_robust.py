@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palaver.llm import common, langid, license, linededup, packing, paragraphs, quality, warc
+from palaver.llm import common, entry, langid, license, linededup, packing, paragraphs, quality, warc
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("unit", ["<a ", "<title>", "<html ", "<a x ", "<script ", "<!", "<?", "<!--", '<a href="', "</title ", "<head><title"])
@@ -193,3 +195,41 @@ def test_files_are_owned_and_released(spark):
     assert os.path.isdir(path.replace("//", "/"))
     common.forget(df)
     assert not os.path.isdir(path.replace("//", "/"))
+
+
+@pytest.mark.parametrize("stage", [False, True])
+def test_registered_line_dedup_runs_its_levels(spark, monkeypatch, stage):
+    """On the smallest table too, batches are anti-joined with runs, and runs are compacted to a higher level."""
+    import corpus_pipeline
+
+    seen = {"batches": 0, "anti": 0, "merged": [], "less": 0}
+    add, merge = linededup.RunStore.add_batch, linededup.RunStore._merge
+
+    def adding(self, held):
+        keys = held.select("k1", "k2").distinct().count()
+        seen["batches"] += 1
+        seen["anti"] += len(self.runs())
+        write = self._write
+
+        def writing(run, level):
+            if level == 0:
+                seen["less"] += run.count() < keys
+            return write(run, level)
+
+        self._write = writing
+        add(self, held)
+        self._write = write
+
+    def merging(self, a, b, level):
+        seen["merged"].append(level)
+        return merge(self, a, b, level)
+
+    monkeypatch.setattr(linededup.RunStore, "add_batch", adding)
+    monkeypatch.setattr(linededup.RunStore, "_merge", merging)
+    if stage:
+        corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count()
+    else:
+        entry.op4_line_dedup(spark, SF).count()
+    assert seen["batches"] >= 4 and seen["anti"] >= 4
+    assert {1, 2} <= set(seen["merged"])  # two levels of compaction
+    assert seen["less"]  # an anti-join took keys out
