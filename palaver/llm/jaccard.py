@@ -152,13 +152,12 @@ def _representatives(full: DataFrame) -> DataFrame:
     return joined.where(one).drop("_node", "_one")
 
 
-def _met(full: DataFrame) -> DataFrame:
+def _met(one: DataFrame) -> DataFrame:
     """(a, b): hubs and the other members of their tiles, by node, once each.
 
     Tiles are dealt with 64-bit names of the nodes; a clash of names adds a comparison at most.
     """
     name = lambda node: F.xxhash64(node)
-    one = _representatives(full)
     placed = one.select(F.explode("tiles").alias("tile"), name("node").alias("k"))
     sizes = materialise(placed.groupBy("tile").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "jaccard-tiles")
     shared = materialise(placed.join(sizes, "tile"), "jaccard-shared")
@@ -166,7 +165,7 @@ def _met(full: DataFrame) -> DataFrame:
     hubs = shared.join(degree, "k").groupBy("tile").agg(F.max(F.struct("degree", "k"))["k"].alias("hub"))
     pairs = shared.join(hubs, "tile").where("k != hub").groupBy("hub", "k").agg(F.lit(1).alias("_one"))
     pairs = materialise(pairs.select("hub", "k"), "jaccard-pairs", rows=shared._palaver_rows, width=16)
-    named = full.select("node").distinct().select("node", name("node").alias("_k"))
+    named = one.select("node").distinct().select("node", name("node").alias("_k"))
     named = materialise(named, "jaccard-names")
     a, b = named.select(F.col("node").alias("a"), F.col("_k").alias("hub")), named.select(F.col("node").alias("b"), F.col("_k").alias("k"))
     met = materialise(pairs.join(b, "k").join(a, "hub").where("a != b").select("a", "b"), "jaccard-met", rows=2 * pairs._palaver_rows, width=32)
@@ -258,13 +257,14 @@ def linked_nodes(items: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     """items (doc_id, th, text), equal keys having equal texts: (doc_id, th, n, node) of every row, and (node, comp) of linked nodes."""
     key = ["doc_id", "th"]
     rows = materialise(sketches(items, k, percent), "jaccard-sketch")
-    full = rows.where("node is not null")
-    met = _met(full)
+    # one row of each node, so that no join by node meets a group of copies
+    one = _representatives(rows.where("node is not null"))
+    met = _met(one)
     ends = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
-    nodes = full.select("node", "n", "bits").join(ends, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = one.select("node", "n", "bits").join(ends, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = materialise(nodes, "jaccard-nodes", rows=min(2 * met._palaver_rows, rows._palaver_rows), width=1000)
     star = materialise(_bounded(met, nodes, min(STAR, percent)), "jaccard-star", rows=met._palaver_rows, width=32)
-    sets = lambda pairs, known=None: _needed(items, rows, pairs, known, k, key)
+    sets = lambda pairs, known=None: _needed(items, one, pairs, known, k, key)
     first_sets = materialise(sets(star), "jaccard-sets", rows=min(2 * star._palaver_rows, nodes._palaver_rows), width=4000)
     seen = materialise(_verified(star, first_sets), "jaccard-seen", rows=star._palaver_rows, width=1000)
     close = lambda pairs: pairs.where(_linked(F.col("n_a"), F.col("n_b"), F.col("overlap"), percent)).select("a", "b")
@@ -283,12 +283,12 @@ def linked_nodes(items: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     return out, comps
 
 
-def _needed(items: DataFrame, rows: DataFrame, pairs: DataFrame, known: DataFrame | None, k: int, key: list[str]) -> DataFrame:
+def _needed(items: DataFrame, one: DataFrame, pairs: DataFrame, known: DataFrame | None, k: int, key: list[str]) -> DataFrame:
     """(node, hashes) of the nodes of ``pairs`` that are not ``known``."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     if known is not None:
         ends = ends.join(known.select("node"), "node", "left_anti")
-    return _sets(items, rows.select(*key, "node"), ends, k, key)
+    return _sets(items, one.select(*key, "node"), ends, k, key)
 
 
 def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
