@@ -6,13 +6,14 @@ Users are customers or event users, threads are orders or conversations, free te
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions import scoring, text
-from palaver.operators import copyscan, prompts, splits, threads, turns
+from palaver.operators import copyscan, metrics, prompts, splits, threads, tokens, turns
 from palaver.streaming import groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -528,6 +529,59 @@ def batch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("metric", F.round("mean", 6).alias("mean"), F.round("active_mean", 6).alias("active_mean"))
 
 
+# a sample's fields of its document: some batches lack one, some fields are no numbers, one mask is none
+_SAMPLES = """b AS (SELECT d.doc_id % 5 AS step, d.doc_id, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic, coalesce(n_chars, 0)::DOUBLE AS n_chars,
+  coalesce(length(source), 0)::DOUBLE AS n_source FROM labels l JOIN documents d USING (doc_id)),
+m AS (SELECT step, avg(quality) AS q, avg(toxic) AS t, avg(n_chars) AS n, avg(n_source) AS s, avg(n_chars) FILTER (WHERE toxic > 0) AS masked, count(*) AS size, count(*) FILTER (WHERE doc_id % 3 > 0) AS n_part FROM b GROUP BY 1)"""
+
+
+@query(f"""WITH {_SAMPLES} SELECT step, metric, round(value, 6) AS value FROM (
+  SELECT step, unnest(['reward/score/mean', 'reward/total_score/mean', 'critic/score/mean']) AS metric, q AS value FROM m
+  UNION ALL SELECT step, unnest(['reward/raw_reward/mean', 'critic/rewards/mean']), n FROM m WHERE step > 0
+  UNION ALL SELECT step, unnest(['reward/format_score/mean', 'reward/format_bonus/mean']), t FROM m
+  UNION ALL SELECT step, 'reward/format_source/mean', s FROM m
+  UNION ALL SELECT step, unnest(['reward/source_copy/mean', 'reward/source_copy/rate', 'reward/source_copy_rate/mean']), 1 - q FROM m
+  UNION ALL SELECT step, 'reward/length_new/mean', n + 1 FROM m
+  UNION ALL SELECT step, 'reward/length_part/mean', t FROM m WHERE n_part = size
+  UNION ALL SELECT step, 'reward/train/response/score/mean', masked FROM m WHERE masked IS NOT NULL
+  UNION ALL SELECT step, 'reward/train/other/score/mean', n FROM m)""")
+def open_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", "lang")
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").join(d, "doc_id").withColumn("step", F.col("doc_id") % 5)
+    n = F.coalesce("n_chars", F.lit(0))
+    fields = {
+        "score": F.col("quality"), "raw_reward": F.when(F.col("step") > 0, n), "format_score": F.col("toxic").cast("string"),
+        "format_source": F.coalesce(F.length("source"), F.lit(0)), "wrong_perspective": F.concat(F.lit("no number "), F.coalesce("lang", F.lit(""))),
+        "source_copy": F.col("quality") == 0, "train/response:score": n, "train/active/response": F.col("toxic"), "train/other:score": n,
+        "train/active/other": F.lit("always"), "reward_extra_info": F.struct(F.lit(7).alias("score"), (n + 1).alias("length_new"), F.when(F.col("doc_id") % 3 > 0, F.col("toxic")).alias("length_part")),
+    }
+    samples = rows.select("step", F.parse_json(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))).alias("info"))
+    return metrics.open_metrics(samples, ["step"], "info").select("step", "metric", F.round("value", 6).alias("value"))
+
+
+def _words_and_gaps(texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
+    """Stands in for a tokenizer: stretches of white space and of other characters; an id is a length."""
+    spans = [[m.span() for m in re.finditer(r"[ \t\n]+|[^ \t\n]+", t)] for t in texts]
+    return [([b - a for a, b in s], s) for s in spans]
+
+
+@query("""WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1),
+m AS (SELECT conv_id, turn, last, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM conversations JOIN l USING (conv_id) WHERE turn <= last),
+t AS (SELECT conv_id, string_agg(line, '' ORDER BY turn) AS whole, length(coalesce(string_agg(line, '' ORDER BY turn) FILTER (WHERE turn < last), '') || '<|im_start|>assistant' || chr(10)) AS prefix FROM m GROUP BY 1),
+k AS (SELECT *, list_transform(regexp_extract_all(whole, '[ \t\n]+|[^ \t\n]+'), lambda x: length(x)) AS sizes FROM t),
+e AS (SELECT *, list_transform(range(1, len(sizes) + 1), lambda i: list_sum(sizes[1:i])) AS ends FROM k),
+b AS (SELECT conv_id, len(sizes) AS n, len(list_filter(ends, lambda x: x <= prefix)) AS first, len(list_filter(ends, lambda x: x <= length(whole) - 11)) AS behind FROM e)
+SELECT conv_id, n::INTEGER AS n_tokens, sha256(repeat('0', first) || repeat('1', behind - first) || repeat('0', n - behind)) AS mask_sha FROM b""")
+def learning_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    last = c.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    rows = c.join(last, "conv_id").where("turn <= _last").groupBy("conv_id").agg(said.alias("m"))
+    rows = rows.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+    got = tokens.learning_tokens(tokens.learning_texts(rows, "messages"), _words_and_gaps)
+    return got.select("conv_id", F.size("input_ids").alias("n_tokens"), F.sha2(F.array_join("completion_mask", ""), 256).alias("mask_sha"))
+
+
 _KEY = "'7:response:prompt_idx:' || event_id || ':hash:' || sha1(event_id || chr(10) || user_id || repeat(chr(10), 5) || event_type || repeat(chr(10), 2))"
 
 
