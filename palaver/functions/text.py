@@ -1,18 +1,14 @@
 """Text primitives as column expressions.
 
-Null, missing and empty are one: every function takes null as "". Regular expressions run in
-the JVM; only entity decoding is an Arrow function, since SQL has no table of entities.
+Null, missing and empty are one: every function takes null as "". All of them run in the JVM.
 """
 
 from __future__ import annotations
 
-import html
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from palaver.functions.entities import decoded
 
 # Markers, placeholders and patterns that results must carry or match.
 UNUSABLE_SPEAKERS = ["", "[deleted]", "deleted", "none", "null"]
@@ -76,27 +72,10 @@ def chat_text(content: str | Column) -> Column:
     return F.when(F.startswith(kind, F.lit("ARRAY")), joined).when(F.startswith(kind, F.lit("OBJECT")), named).otherwise(raw)
 
 
-@F.pandas_udf(StringType())
-def _decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def decode(text: str) -> str:
-        for _ in range(3):
-            found = html.unescape(text)
-            if found == text:
-                break
-            text = found
-        return text
-
-    for batch in batches:
-        yield batch.map(decode)
-
-
 def unescape_entities(text: str | Column) -> Column:
-    """Entities decoded up to three times; a backslash before five of them is dropped first.
-
-    Texts without "&" never leave the JVM.
-    """
+    """Entities decoded up to three times; a backslash before five of them is dropped first. All inside the JVM."""
     bare = F.regexp_replace(_col(text), r"\\(?=&(?:gt|lt|amp|quot|apos);)", "")
-    return F.when(F.contains(bare, F.lit("&")), _decoded(bare)).otherwise(bare)
+    return decoded(bare, 3)
 
 
 def strip_quotes(text: str | Column) -> Column:

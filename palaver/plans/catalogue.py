@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import scoring, text
 from palaver.operators import copyscan, metrics, prompts, splits, threads, tokens, turns
+from palaver.sources import ordered
 from palaver.streaming import groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,7 +283,16 @@ def strip_quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.strip_quotes(F.array_join(made, "\n")), 256).alias("plain_sha"))
 
 
-@query()
+def _unescaped_sql() -> str:
+    """The entities that occur in the pages, three times; & itself comes last in each turn."""
+    out = "html"
+    for _ in range(3):
+        for name, value in (("copy", "chr(169)"), ("middot", "chr(183)"), ("quot", "chr(34)"), ("amp", "'&'")):
+            out = f"regexp_replace({out}, '&{name};?', {value}, 'g')"
+    return f"SELECT page_id, sha256(coalesce({out}, '')) AS plain_sha FROM pages"
+
+
+@query(_unescaped_sql())
 def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(text.unescape_entities("html"), 256).alias("plain_sha"))
 
@@ -582,6 +592,17 @@ def learning_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("conv_id", F.size("input_ids").alias("n_tokens"), F.sha2(F.array_join("completion_mask", ""), 256).alias("mask_sha"))
 
 
+@query("""WITH a AS (SELECT c_custkey AS id, c_name AS name, NULL::VARCHAR AS source, 'train' AS split, 0 AS f FROM customer),
+b AS (SELECT doc_id, NULL, source, 'val', 1 FROM documents), c AS (SELECT s_suppkey, s_name, NULL, 'test', 2 FROM supplier),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)
+SELECT id, name, source, split, row_number() OVER (ORDER BY f, id) - 1 AS row_ord FROM u""")
+def ordered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return ordered.ordered_union({"train": a, "val": b, "test": c}, ["id"])
+
+
 _KEY = "'7:response:prompt_idx:' || event_id || ':hash:' || sha1(event_id || chr(10) || user_id || repeat(chr(10), 5) || event_type || repeat(chr(10), 2))"
 
 

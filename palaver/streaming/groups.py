@@ -139,6 +139,20 @@ def complete(rows: DataFrame, prompt: str, hook, schema: StructType | str) -> Da
     return rows.mapInPandas(run, schema)
 
 
+def complete_limited(rows: DataFrame, prompt: str, call, limit: int = 400, pool: int = 25, retries: int = 3, wait: float = 0.0) -> DataFrame:
+    """``rows`` with ``completion``, with no more than ``limit`` calls in flight in the whole job.
+
+    The rows are dealt into limit // pool partitions, so that no more tasks can run at a time, on however
+    large a cluster, and each has up to ``pool`` calls in flight. A task that is run again after its
+    executor was lost repeats its calls; with speculation, copies of tasks come on top.
+    """
+    if limit < 1 or pool < 1:
+        raise ValueError("limit and pool must be positive")
+    pool = min(pool, limit)
+    schema = StructType([*rows.schema.fields, StructField("completion", StringType())])
+    return complete(rows.repartition(limit // pool), prompt, pooled(call, pool, retries, wait), schema)
+
+
 def retry_rounds(wanted: DataFrame, key: str, attempt, rounds: int, shared) -> DataFrame:
     """Up to ``rounds`` attempts over the keys that still have no answer.
 
