@@ -14,6 +14,8 @@ def session(master: str = "local[8]", name: str = "palaver", **extra: str) -> Sp
         "spark.sql.shuffle.partitions": "16",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # list states and timers of streams need this store
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | {k.replace("__", "."): v for k, v in extra.items()}
     builder = SparkSession.builder.master(master).appName(name).config(map=conf)
     spark = builder.getOrCreate()

@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 GROUP_SIZE, TIMEOUT_MS = 4, 180_000
@@ -38,43 +38,87 @@ def group_by_count(rows: DataFrame, key: str, order: list[str], n: int = GROUP_S
     return numbered.withColumn("group_size", F.count(F.lit(1)).over(Window.partitionBy(key, "group_no")))
 
 
+class _Grouper(StatefulProcessor):
+    """Open groups: members in a list state, their number and deadline beside it.
+
+    New members are appended and old ones stay where they are until the group is flushed, so an
+    arrival costs what it brings, however large a group may grow.
+    """
+
+    def __init__(self, key: str, n: int, timeout_ms: int):
+        self.key, self.n, self.timeout_ms = key, n, timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.members = handle.getListState("members", "payload string")
+        self.open = handle.getValueState("open", "size int, deadline bigint")
+
+    def _flushed(self, key: tuple, reason: str, members: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]], "size": [len(members)], "reason": [reason], "members": [members]})
+
+    def _held(self) -> list[str]:
+        return [m[0] for m in self.members.get()] if self.members.exists() else []
+
+    def _close(self, deadline: int | None) -> None:
+        self.members.clear()
+        self.open.clear()
+        if deadline is not None:
+            self.handle.deleteTimer(deadline)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
+        size, deadline = self.open.get() if self.open.exists() else (0, None)
+        if size and deadline <= now:  # overdue when new rows come
+            yield self._flushed(key, "timeout", self._held())
+            self._close(deadline)
+            size, deadline = 0, None
+        for batch in rows:
+            new = batch["payload"].tolist()
+            while new:
+                part, new = new[: self.n - size], new[self.n - size :]
+                if size + len(part) == self.n:
+                    yield self._flushed(key, "count", (self._held() if size else []) + part)
+                    if size:
+                        self._close(deadline)
+                    size, deadline = 0, None
+                    continue
+                self.members.appendList([(p,) for p in part])
+                size += len(part)
+                if deadline is None:
+                    deadline = now + self.timeout_ms
+                    self.handle.registerTimer(deadline)
+        if size:
+            self.open.update((size, deadline))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        size, deadline = self.open.get() if self.open.exists() else (0, None)
+        # a timer may be older than the group that is open now
+        if size and deadline <= timerValues.getCurrentProcessingTimeInMs():
+            yield self._flushed(key, "timeout", self._held())
+            self._close(None)
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that list states and timers need; set it before a query is started.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def group_stream(rows: DataFrame, key: str, n: int = GROUP_SIZE, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
     """Streaming form: (key, size, reason, members) whenever n rows of a key are there or time is up.
 
     ``rows``: key and ``payload`` (string). The time runs from the first arrival of a group, so
     a trickle of rows does not put it off. Rows that come after a flush open a new group.
-    With n = 8 and 5 ms it batches requests by size or time.
+    With n = 8 and 5 ms it batches requests by size or time. The session needs ``STATE_STORE``; open groups
+    and their timers live in the checkpoint and go on after a restart.
     """
-    state_schema = "members array<string>, deadline long"
-    out_schema = f"{key} string, size int, reason string, members array<string>"
-
-    def flush(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, deadline = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [name[0]], "size": [len(held)], "reason": ["timeout"], "members": [held]})
-            return
-        now, done = state.getCurrentProcessingTimeMs(), []
-        if held and deadline <= now:  # a key with new rows is not called for its time-out
-            done.append(("timeout", held))
-            held, deadline = [], None
-        for batch in batches:
-            held += batch["payload"].tolist()
-        while len(held) >= n:
-            done.append(("count", held[:n]))
-            held = held[n:]
-            deadline = None  # what is left has just come
-        if held:
-            deadline = deadline or now + timeout_ms
-            state.update((held, deadline))
-            state.setTimeoutDuration(max(1, deadline - now))
-        elif state.exists:
-            state.remove()
-        if done:
-            reasons, members = [d[0] for d in done], [d[1] for d in done]
-            yield pd.DataFrame({key: [name[0]] * len(done), "size": list(map(len, members)), "reason": reasons, "members": members})
-
-    return rows.groupBy(key).applyInPandasWithState(flush, out_schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    name, store = STATE_STORE
+    if rows.sparkSession.conf.get(name, "") != store:
+        raise RuntimeError(f"set {name} to {store}")
+    schema = f"{key} string, size int, reason string, members array<string>"
+    grouper = _Grouper(key, n, timeout_ms)
+    return rows.groupBy(key).transformWithStateInPandas(grouper, schema, "Append", "ProcessingTime")
 
 
 def score_batches(rows: DataFrame, prompt: str, hook, size: int = 8) -> DataFrame:
