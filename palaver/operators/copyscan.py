@@ -37,15 +37,22 @@ def seeds(rows: DataFrame, keys: list[str], words: Column, n: int, at: str) -> D
     """keys, position (from 0) and ``seed`` of the minimizers of every n words."""
     k = (n + 1) // 2
     window = n - k + 1
-    hashed = rows.select(*keys, F.transform(words, lambda w: F.xxhash64(w)).alias("_h")).where(F.size("_h") >= n)
+    # short texts are left out by guards: a filter would be pushed down and cut the words twice
+    hashed = rows.select(*keys, F.transform(words, lambda w: F.xxhash64(w)).alias("_h"))
     gram = lambda i: F.xxhash64(*[F.get("_h", i + j) for j in range(k)])
-    grams = hashed.select(*keys, F.transform(F.sequence(F.lit(0), F.size("_h") - k), gram).alias("_g"))
+    grams = hashed.select(*keys, F.when(F.size("_h") >= n, F.transform(F.sequence(F.lit(0), F.size("_h") - k), gram)).alias("_g"))
+
+    # by single elements: a slice copies the whole array before it cuts
+    at_least = lambda i: functools.reduce(F.least, [F.get("_g", i + j) for j in range(window)])
+    grams = grams.withColumn("_m", F.when(F.col("_g").isNotNull(), F.transform(F.sequence(F.lit(0), F.size("_g") - window), at_least)))
 
     def pick(i: Column) -> Column:
-        part = F.slice("_g", i + 1, F.lit(window))
-        return i + F.array_position(part, F.array_min(part)).cast("int") - 1
+        least, out = F.get("_m", i), i + window - 1
+        for j in reversed(range(window - 1)):
+            out = F.when(F.get("_g", i + j) == least, i + j).otherwise(out)
+        return out
 
-    picked = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_g") - window), pick))
+    picked = F.when(F.col("_m").isNotNull(), F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_m") - 1), pick)))
     each = grams.select(*keys, F.explode(F.transform(picked, lambda p: F.struct(p.alias(at), F.get("_g", p).alias("seed")))).alias("_s"))
     return each.select(*keys, f"_s.{at}", "_s.seed")
 

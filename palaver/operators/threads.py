@@ -110,7 +110,7 @@ def _doubled(edges: DataFrame, wanted: DataFrame | None, most: int) -> DataFrame
     last = levels[-1]
     length = last.select("post_id", "id", (F.col("hops") + 1).alias("length"))
     if going:
-        length = _cyclic_lengths(first, levels, most)
+        length = length.join(last.where("up is null").select("post_id", "id"), ["post_id", "id"], "left_semi").unionByName(_cyclic_lengths(first, levels))
 
     starts = edges if wanted is None else edges.join(wanted, ["post_id", "idx"], "left_semi")
     starts = starts.select("post_id", "idx", "comment_id", "parent_id")
@@ -153,23 +153,26 @@ def _levels(state: DataFrame, most: int) -> tuple[list[DataFrame], int]:
     return levels, going
 
 
-def _cyclic_lengths(first: DataFrame, levels: list[DataFrame], most: int) -> DataFrame:
-    """(post_id, id, length) of all chains, where some lead into cycles.
+def _cyclic_lengths(first: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(post_id, id, length) of the chains that lead into cycles.
 
     After more steps than a thread has comments, pointers end exactly on the cycles' comments.
     """
     last = levels[-1]
     cycle = last.where("up is not null").select("post_id", F.col("up").alias("id")).distinct()
+    cycle, _ = written(cycle, "chain-cycles")
+    longest = cycle.groupBy("post_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     # the least id of a cycle names it: least of 1, 2, 4 ... comments from each on
     name = cycle.withColumn("least", F.col("id"))
-    for level in levels:
+    for level in levels[: int(longest).bit_length()]:
         ahead = name.select("post_id", F.col("id").alias("up"), F.col("least").alias("_least"))
         name = name.join(level.select("post_id", "id", "up"), ["post_id", "id"]).join(ahead, ["post_id", "up"]).select("post_id", "id", F.least("least", "_least").alias("least"))
         name, _ = written(name, "chain-cycles")
     round_ = name.groupBy("post_id", "least").agg(F.count(F.lit(1)).alias("n"))
     sizes = name.join(round_, ["post_id", "least"]).select("post_id", "id", "n")
-    # with the cycles cut, every chain ends: at a root, or at the comment where it meets a cycle
-    cut = first.join(cycle.withColumn("_c", F.lit(True)), ["post_id", "id"], "left").select("post_id", "id", F.when(F.col("_c").isNull(), F.col("up")).alias("up"))
+    # the other chains are known; with the cycles cut, these end at the comment where they meet one
+    leading = first.join(last.where("up is not null").select("post_id", "id"), ["post_id", "id"], "left_semi")
+    cut = leading.join(cycle.withColumn("_c", F.lit(True)), ["post_id", "id"], "left").select("post_id", "id", F.when(F.col("_c").isNull(), F.col("up")).alias("up"))
     ends = cut.withColumn("end", F.coalesce("up", "id")).withColumn("hops", F.col("up").isNotNull().cast("int"))
     open_ = F.col("up").isNotNull()
     ends, going = written(ends, "chain-ends", open_)
@@ -179,7 +182,7 @@ def _cyclic_lengths(first: DataFrame, levels: list[DataFrame], most: int) -> Dat
         moved = moved.select("post_id", "id", F.col("_up").alias("up"), F.col("_end").alias("end"), (F.col("hops") + F.col("_hops")).alias("hops"))
         ends, going = written(moved.unionByName(ends.where(~open_)), "chain-ends", open_)
     met = sizes.select("post_id", F.col("id").alias("end"), "n")
-    return ends.join(met, ["post_id", "end"], "left").select("post_id", "id", (F.col("hops") + F.coalesce("n", F.lit(1))).alias("length"))
+    return ends.join(met, ["post_id", "end"]).select("post_id", "id", (F.col("hops") + F.col("n")).alias("length"))
 
 
 def _spelt(begun: DataFrame, levels: list[DataFrame]) -> DataFrame:
