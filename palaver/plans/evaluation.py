@@ -301,29 +301,57 @@ def text_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.excerpt("text").alias("short"), text.excerpt("text", 1000, inside=False).alias("long"))
 
 
-@query("""SELECT doc_id, 'values: v' || doc_id || chr(10) || 'background: b' AS wrapped, 'name: n' || doc_id AS scalar, 'plain ' || doc_id AS plain FROM labels""")
-def persona_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("doc_id").cast("string")
-    wrapped = F.concat(F.lit('{"persona": {"summary": {"values": " v'), n, F.lit('", "background": "b", "other": 1}}}'))
-    scalar = F.concat(F.lit('{"name": "n'), n, F.lit('", "list": [1]}'))
-    rows = table(spark, sf_dir, "labels").select("doc_id", wrapped.alias("w"), scalar.alias("s"), F.concat(F.lit("plain "), n).alias("p"))
-    return rows.select("doc_id", prompts.persona_text("w").alias("wrapped"), prompts.persona_text("s").alias("scalar"), prompts.persona_text("p").alias("plain"))
+_BODY = "coalesce(text, '')"
 
 
-@query("""SELECT doc_id, '<|im_start|>system' || chr(10) || '[USER PERSONA]' || chr(10) || 'calm' || chr(10) || chr(10) || 'TASK<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || '[CURRENT CONTEXT]' || chr(10) || 'now ' || doc_id || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt_text,
- 'persona' AS conditioning_mode, 'truth' AS ground_truth FROM labels""")
+@query(f"""SELECT doc_id, sha256('values: v ' || {_BODY} || ' e' || chr(10) || 'background: b') AS wrapped_sha, sha256('name: n ' || {_BODY} || ' e') AS scalar_sha,
+ sha256('plain ' || {_BODY} || ' e') AS plain_sha FROM documents""")
+def persona_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personas as a model may give them, with whole texts inside: wrapped objects, an object with one text, plain text."""
+    told = lambda head: F.concat(F.lit(head), F.coalesce("text", F.lit("")), F.lit(" e"))
+    summary = F.struct(F.concat(F.lit(" "), told("v ")).alias("values"), F.lit("b").alias("background"), F.lit(1).alias("other"))
+    wrapped = F.to_json(F.struct(F.struct(summary.alias("summary")).alias("persona")))
+    scalar = F.to_json(F.struct(told("n ").alias("name"), F.array(F.lit(1)).alias("list")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", wrapped.alias("w"), scalar.alias("s"), told("plain ").alias("p"))
+    return rows.select("doc_id", *[F.sha2(prompts.persona_text(c), 256).alias(name) for c, name in (("w", "wrapped_sha"), ("s", "scalar_sha"), ("p", "plain_sha"))])
+
+
+def _reconditioned_sql() -> str:
+    line = "chr(10)"
+    said = "'[CURRENT CONTEXT]' || chr(10) || 'now ' || coalesce(text, '') || ' end'"
+    past = "'[USER HISTORY]' || chr(10) || 'old ' || coalesce(text, '') || ' end' || chr(10) || chr(10) || "
+    who = "'[USER PERSONA]' || chr(10) || 'calm ' || coalesce(source, '') || ' one' || chr(10) || chr(10) || "
+    parts = []
+    for mode, system, user in (("history", "", past), ("persona", who, ""), ("history_persona", who, past)):
+        prompt = f"'<|im_start|>system' || {line} || {system}'TASK<|im_end|>' || {line} || '<|im_start|>user' || {line} || {user}{said} || '<|im_end|>' || {line} || '<|im_start|>assistant' || {line}"
+        parts.append(f"SELECT doc_id, '{mode}' AS conditioning_mode, sha256({prompt}) AS prompt_sha, 'truth ' || doc_id AS ground_truth FROM documents")
+    return " UNION ALL ".join(parts)
+
+
+@query(_reconditioned_sql())
 def reconditioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").select(
-        "doc_id", F.lit("old").alias("user_history"), F.concat(F.lit("now "), F.col("doc_id").cast("string"), F.lit(" \n[HUMAN]: ")).alias("context"), F.lit(" calm ").alias("persona"), F.lit(" truth ").alias("ground_truth")
-    )
-    return prompts.recondition(rows, "persona", "TASK").select("doc_id", "prompt_text", "conditioning_mode", "ground_truth")
+    """All three modes over whole texts as history and context."""
+    whole = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat(F.lit("old "), whole, F.lit(" end")).alias("user_history"),
+        F.concat(F.lit("now "), whole, F.lit(" end \n[HUMAN]: ")).alias("context"),
+        F.concat(F.lit(" calm "), F.coalesce("source", F.lit("")), F.lit(" one ")).alias("persona"),
+        F.concat(F.lit(" truth "), F.col("doc_id").cast("string"), F.lit(" ")).alias("ground_truth"),
+    )
+    out = None
+    for mode in ("history", "persona", "history_persona"):
+        got = prompts.recondition(rows, mode, "TASK").select("doc_id", "conditioning_mode", F.sha2("prompt_text", 256).alias("prompt_sha"), "ground_truth")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'No copied passage was found.' WHEN 1 THEN '1. x' || doc_id ELSE '1. x' || doc_id || chr(10) || '2. y' END AS listed FROM labels""")
+@query("""WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(x) >= 40) AS m FROM documents)
+SELECT doc_id, sha256(CASE WHEN len(m) = 0 THEN 'No copied passage was found.' ELSE array_to_string(list_transform(m, lambda x, i: i || '. ' || x), chr(10)) END) AS listed_sha FROM l""")
 def copy_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("doc_id")
-    found = F.slice(F.array(F.concat(F.lit("x"), n.cast("string")), F.lit("y")), F.lit(1), (n % 3).cast("int"))
-    return table(spark, sf_dir, "labels").select("doc_id", copyscan.watchlist(found).alias("listed"))
+    """The longer lines of each text stand in for the passages found."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.char_length(x) >= 40)
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(copyscan.watchlist(lines), 256).alias("listed_sha"))
 
 
 @query("""SELECT doc_id, doc_id % 3 = 0 AS assistant FROM labels""")
