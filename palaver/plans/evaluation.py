@@ -354,10 +354,10 @@ def copy_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(copyscan.watchlist(lines), 256).alias("listed_sha"))
 
 
-@query("""SELECT doc_id, doc_id % 3 = 0 AS assistant FROM labels""")
+@query(r"""SELECT doc_id, doc_id % 3 = 0 AND len(regexp_extract_all('Here are some steps you can take. ' || replace(coalesce(text, ''), '?', '.'), '[\p{L}\p{N}\p{M}_'']+')) >= 24 AS assistant FROM documents""")
 def assistant_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("doc_id") % 3
-    long = F.concat(F.lit("Here are some steps you can take. "), F.array_join(F.array_repeat(F.lit("word"), 40), " "))
-    truth = F.when(n == 1, "It was fine.").otherwise("Why is that?")
-    made = F.when(n == 2, "No idea, sorry").otherwise(long)
-    return table(spark, sf_dir, "labels").select("doc_id", text.assistant_like(truth, made).alias("assistant"))
+    """Whole texts as answers; the truth is a short question, no question, or a question as long as the answer."""
+    n, body = F.col("doc_id") % 3, F.coalesce("text", F.lit(""))
+    truth = F.when(n == 0, F.lit("Why is that?")).when(n == 1, F.lit("It was fine.")).otherwise(F.concat(F.lit("Why "), body, F.lit("?")))
+    made = F.concat(F.lit("Here are some steps you can take. "), F.replace(body, F.lit("?"), F.lit(".")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.assistant_like(truth, made).alias("assistant"))
