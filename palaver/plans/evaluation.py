@@ -139,7 +139,7 @@ _RAW = """raw AS (SELECT CASE WHEN conv_id % 5 = 0 THEN turn % 2 ELSE 0 END AS a
   CASE WHEN turn = 0 AND conv_id % 2 = 0 THEN 'c' || conv_id ELSE 'c' || conv_id || '_' || turn END AS utterance_id,
   CASE WHEN turn = 0 THEN CASE WHEN conv_id % 2 = 0 THEN 'gone' ELSE '' END WHEN turn = 1 THEN 'c' || conv_id ELSE 'c' || conv_id || '_' || (turn - 1) END AS reply_to,
   CASE WHEN turn % 5 = 3 THEN 'AutoModerator' WHEN turn % 3 = 0 THEN 'op' || conv_id % 7 ELSE 'u' || turn % 3 END AS speaker,
-  CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN '[deleted]' WHEN turn % 4 = 3 THEN '[removed]' ELSE 't' || conv_id || '-' || turn END AS body,
+  CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN '[deleted]' WHEN turn % 4 = 3 THEN '[removed]' ELSE 't ' || coalesce(text, '') || ' e' END AS body,
   (turn * 7) % 11 AS ts, CASE WHEN turn % 2 = 0 THEN '' ELSE 'ch' || conv_id % 3 END AS own FROM conversations),
 meta AS (SELECT DISTINCT conv, CASE WHEN conv % 2 = 0 THEN 'm1' ELSE '' END AS channel, CASE WHEN conv % 6 = 0 THEN '' ELSE 'T' || conv END AS title FROM raw),
 rooted AS (SELECT raw.*, title, reply_to = '' OR utterance_id = conversation_id AS is_root,
@@ -158,7 +158,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         thread.alias("conversation_id"),
         F.when((turn == 0) & (conv % 2 == 0), "gone").when(turn == 0, "").when(turn == 1, thread).otherwise(F.concat(thread, F.lit("_"), text_(turn - 1))).alias("reply_to"),
         F.when(turn % 5 == 3, "AutoModerator").when(turn % 3 == 0, F.concat(F.lit("op"), text_(conv % 7))).otherwise(F.concat(F.lit("u"), text_(turn % 3))).alias("speaker"),
-        F.when((turn == 0) & (conv % 3 == 0), "[deleted]").when(turn % 4 == 3, "[removed]").otherwise(F.concat(F.lit("t"), text_(conv), F.lit("-"), text_(turn))).alias("text"),
+        F.when((turn == 0) & (conv % 3 == 0), "[deleted]").when(turn % 4 == 3, "[removed]").otherwise(F.concat(F.lit("t "), F.coalesce("text", F.lit("")), F.lit(" e"))).alias("text"),
         (turn * 7 % 11).cast("double").alias("ts"),
         turn.cast("long").alias("seq"),
         F.when(turn % 2 == 0, "").otherwise(F.concat(F.lit("ch"), text_(conv % 3))).alias("channel"),
