@@ -319,15 +319,27 @@ def _members(data: bytes) -> Iterator[bytes]:
     if not data.startswith(b"\x1f\x8b"):
         yield data
         return
-    rest = data
-    while rest.startswith(b"\x1f\x8b"):
-        unpack = zlib.decompressobj(31)
+    view, at = memoryview(data), 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        unpack, parts = zlib.decompressobj(31), []
         try:
-            yield unpack.decompress(rest)
+            while not unpack.eof and at < len(data):
+                window = view[at : at + _WINDOW]
+                parts.append(unpack.decompress(window))
+                # what lies behind the member's end is looked at again, one window at most
+                at += len(window) - len(unpack.unused_data)
         except zlib.error as error:
             yield f"gzip: {error}".encode()  # scanned as a broken record
             return
-        rest = unpack.unused_data
+        yield b"".join(parts)
+
+
+#: Packed bytes that are unpacked at once, and record bytes of an Arrow batch.
+_WINDOW, _BATCH_BYTES = 64 << 10, 4 << 20
+
+
+def _records(numbers: list[int], records: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(records, pa.binary())], names=["page_id", "record"])
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -339,11 +351,17 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                number = 0
+                numbers, records, size, number = [], [], 0, 0
                 for member in _members(content.as_py()):
                     for record in scan_records(member):
                         whole = str(record).encode() if isinstance(record, Broken) else record_bytes(*record)
-                        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([whole], pa.binary())], names=["page_id", "record"])
-                        number += 1
+                        numbers.append(number)
+                        records.append(whole)
+                        size, number = size + len(whole), number + 1
+                        if size >= _BATCH_BYTES:
+                            yield _records(numbers, records)
+                            numbers, records, size = [], [], 0
+                if records:
+                    yield _records(numbers, records)
 
     return files.mapInArrow(cut_up, "page_id long, record binary")

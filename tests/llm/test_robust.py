@@ -233,3 +233,27 @@ def test_registered_line_dedup_runs_its_levels(spark, monkeypatch, stage):
     assert seen["batches"] >= 4 and seen["anti"] >= 4
     assert {1, 2} <= set(seen["merged"])  # two levels of compaction
     assert seen["less"]  # an anti-join took keys out
+
+
+def test_gzip_members_take_time_in_proportion():
+    member = gzip.compress(random.Random(1).randbytes(5_000))
+
+    def seconds(members):
+        data = member * members
+        start = time.process_time()
+        assert sum(map(len, warc._members(data))) == 5_000 * members
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(8_000) < 16 * max(seconds(1_000), 0.02)  # 40 MB against 5 MB
+
+
+def test_odd_gzip_files():
+    long = gzip.compress(b"x" * 3_000_000 + random.Random(2).randbytes(200_000))
+    assert [len(m) for m in warc._members(long + gzip.compress(b"") + gzip.compress(b"end"))] == [3_200_000, 0, 3]
+    assert list(warc._members(b"")) == [b""] and list(warc._members(b"plain")) == [b"plain"]
+    cut = list(warc._members(gzip.compress(b"whole") + long[: len(long) // 2]))
+    assert cut[0] == b"whole" and len(cut) == 2 and len(cut[1]) < 3_200_000
+    broken = list(warc._members(gzip.compress(b"whole") + b"\x1f\x8b" + b"\xff" * 50))
+    assert broken[0] == b"whole" and broken[1].startswith(b"gzip: ")
+    assert list(warc._members(gzip.compress(b"whole") + b"padding")) == [b"whole"]
