@@ -129,6 +129,47 @@ def heldout_conversations(conversations: DataFrame, user: str, thread: str, shar
     return out.withColumn("split", F.when(F.col("_r") <= e, "val").otherwise("test")).drop("_m", "_r")
 
 
+def user_roles(conversations: DataFrame, user: str, thread: str, *, least: int, heldout: float, offset: int = 0, most_users: int | None = None, seed: int = SEED) -> DataFrame:
+    """user, user_rank and ``role`` (heldout or train) of the users that are used.
+
+    Users with ``least`` distinct threads or more stand in their random order; the first int(heldout n)
+    are held out. Of the rest the first ``offset`` are skipped, then at most ``most_users`` are taken.
+    """
+    if least < 1 or not 0 <= heldout < 1 or offset < 0 or (most_users is not None and most_users < 1):
+        raise ValueError("least and most_users must be positive, offset not negative, and heldout at least 0 and below 1")
+    users = eligible(conversations, user, thread, least).select(user)
+    ranked = fraction_cut(users, user, heldout, "heldout", even=False, seed=seed)
+    held = ranked.agg(F.count_if("chosen").alias("_held"))
+    ranked = ranked.crossJoin(F.broadcast(held))  # one row
+    place = F.col("user_rank") - F.col("_held") - offset
+    used = place > 0 if most_users is None else (place > 0) & (place <= most_users)
+    role = F.when(F.col("chosen"), "heldout").when(used, "train")
+    return ranked.select(user, "user_rank", role.alias("role")).where("role is not null")
+
+
+def role_conversations(
+    conversations: DataFrame, user: str, thread: str, roles: DataFrame, *, share: float, low: int = HISTORY_LOW, high: int = HISTORY_HIGH, seed: int = SEED
+) -> DataFrame:
+    """user, thread, role, ``place`` (from 1, in the user's random order) and ``split`` of the users of ``roles``.
+
+    The first threads, a random number from low to high but one fewer than all at most (and one at least),
+    are history. The others of a train user are train; of a held-out user's the first max(1, int(share m)) of m are val
+    (all but one at most), the rest test.
+    """
+    if not 0 <= share < 1 or low < 1 or high < low:
+        raise ValueError("share must be at least 0 and below 1, low at least 1 and high no less")
+    rows = conversations.select(user, thread).distinct().join(roles.select(user, "role"), user)
+    digest = F.sha2(F.concat(F.lit(f"{seed}:conv:"), F.col(user).cast("string"), F.lit(":"), F.col(thread).cast("string")), 256)
+    w = Window.partitionBy(user)
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy(digest, thread)).cast("long"))
+    k = F.least(history_count(F.col(user), low, high, seed), F.greatest(F.lit(1), F.col("_n") - 1))
+    rows = rows.withColumn("_k", k.cast("long")).withColumn("_m", F.col("_n") - F.col("_k"))
+    e = F.greatest(F.lit(1), F.floor(F.col("_m") * F.lit(float(share))))
+    e = F.when(F.col("_m") > 1, F.least(e, F.col("_m") - 1)).otherwise(e)
+    later = F.when(F.col("role") == "train", "train").when(F.col("place") <= F.col("_k") + e, "val").otherwise("test")
+    return rows.withColumn("split", F.when(F.col("place") <= F.col("_k"), "history").otherwise(later)).drop("_n", "_k", "_m")
+
+
 def without(rows: DataFrame, users: DataFrame, user: str) -> DataFrame:
     return rows.join(users.select(user), user, "left_anti")
 

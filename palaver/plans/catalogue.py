@@ -603,6 +603,22 @@ def ordered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.ordered_union({"train": a, "val": b, "test": c}, ["id"])
 
 
+@query(f"""
+WITH q AS (SELECT o_custkey AS u FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1 HAVING count(DISTINCT o_orderkey) >= 3),
+r AS (SELECT u, row_number() OVER (ORDER BY sha256('42:heldout:' || u::VARCHAR), u) AS user_rank, floor(count(*) OVER () * 0.4::DOUBLE) AS held FROM q),
+s AS (SELECT u, CASE WHEN user_rank <= held THEN 'heldout' ELSE 'train' END AS role FROM r WHERE user_rank <= held OR user_rank - held - 3 BETWEEN 1 AND 40),
+t AS (SELECT u, o_orderkey AS post_id, role, count(*) OVER (PARTITION BY u) AS n, row_number() OVER (PARTITION BY u ORDER BY sha256('42:conv:' || u::VARCHAR || ':' || o_orderkey::VARCHAR), o_orderkey) AS place
+  FROM (SELECT DISTINCT o_custkey AS u, o_orderkey FROM orders) o JOIN s USING (u)),
+k AS (SELECT *, least(2 + {_int_hash("'42:' || u::VARCHAR", 5)}, greatest(1, n - 1)) AS k FROM t),
+e AS (SELECT *, n - k AS m, CASE WHEN n - k > 1 THEN least(greatest(1, floor((n - k) * 0.3::DOUBLE)), n - k - 1) ELSE greatest(1, floor((n - k) * 0.3::DOUBLE)) END AS e FROM k)
+SELECT u AS user_id, post_id, role, place, CASE WHEN place <= k THEN 'history' WHEN role = 'train' THEN 'train' WHEN place <= k + e THEN 'val' ELSE 'test' END AS split FROM e
+""")
+def role_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("post_id"))
+    roles = splits.user_roles(rows.where("user_id is not null"), "user_id", "post_id", least=3, heldout=0.4, offset=3, most_users=40)
+    return splits.role_conversations(rows, "user_id", "post_id", roles, share=0.3)
+
+
 _KEY = "'7:response:prompt_idx:' || event_id || ':hash:' || sha1(event_id || chr(10) || user_id || repeat(chr(10), 5) || event_type || repeat(chr(10), 2))"
 
 
