@@ -111,7 +111,8 @@ def group_stream(rows: DataFrame, key: str, n: int = GROUP_SIZE, timeout_ms: int
     ``rows``: key and ``payload`` (string). The time runs from the first arrival of a group, so
     a trickle of rows does not put it off. Rows that come after a flush open a new group.
     With n = 8 and 5 ms it batches requests by size or time. The session needs ``STATE_STORE``; open groups
-    and their timers live in the checkpoint and go on after a restart.
+    and their timers live in the checkpoint. After a restart Spark makes no batch before rows of any key
+    come, so an overdue group is flushed with the first rows that follow.
     """
     name, store = STATE_STORE
     if rows.sparkSession.conf.get(name, "") != store:

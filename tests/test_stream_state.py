@@ -17,7 +17,7 @@ def started(spark, folder, checkpoint, out, n, timeout_ms):
     return grouped.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append").start()
 
 
-def until(query, spark, out, ready, seconds=45):
+def until(query, spark, out, ready, seconds=120):
     end = time.time() + seconds
     while time.time() < end:
         query.awaitTermination(1)
@@ -34,7 +34,7 @@ def test_open_groups_outlive_a_restart(spark, tmp_path):
     folder, checkpoint, out = (str(tmp_path / x) for x in ("in", "checkpoint", "out"))
     feed(spark, folder, [("x", "a"), ("x", "b"), ("y", "1"), ("z", "r"), ("z", "s"), ("z", "t"), ("z", "u"), ("z", "v")])
     q = started(spark, folder, checkpoint, out, 4, 3_600_000)
-    until(q, spark, out, lambda rows: len(rows) >= 1, 60)  # timers keep the query busy, so it is polled
+    until(q, spark, out, lambda rows: len(rows) >= 1)  # timers keep the query busy, so it is polled
     q.stop()
     assert [(r.key, r.size) for r in spark.read.parquet(out).collect()] == [("z", 4)]
     feed(spark, folder, [("x", "c"), ("x", "d"), ("x", "e"), ("z", "w"), ("z", "x"), ("z", "y")])
@@ -49,13 +49,18 @@ def test_open_groups_outlive_a_restart(spark, tmp_path):
 def test_timers_go_on_after_a_restart(spark, tmp_path):
     folder, checkpoint, out = (str(tmp_path / x) for x in ("in", "checkpoint", "out"))
     feed(spark, folder, [("x", "a"), ("y", "1")])
-    q = started(spark, folder, checkpoint, out, 4, 4_000)
-    q.awaitTermination(3)
+    q = started(spark, folder, checkpoint, out, 4, 20_000)
+    end = time.time() + 120
+    while not (tmp_path / "checkpoint" / "commits" / "0").exists() and time.time() < end:
+        time.sleep(0.2)
     q.stop()
-    q = started(spark, folder, checkpoint, out, 4, 4_000)
-    got = until(q, spark, out, lambda rows: len(rows) >= 2)
+    assert (tmp_path / "checkpoint" / "commits" / "0").exists()  # the groups are open and their timers set
+    feed(spark, folder, [("z", "new")])  # a restarted query makes no batch of its own before rows come
+    q = started(spark, folder, checkpoint, out, 4, 20_000)
+    got = until(q, spark, out, lambda rows: {"x", "y"} <= {r.key for r in rows})
+    failed = q.exception()
     q.stop()
-    assert got == [("x", 1, "timeout", ["a"]), ("y", 1, "timeout", ["1"])]
+    assert failed is None and got[:2] == [("x", 1, "timeout", ["a"]), ("y", 1, "timeout", ["1"])]
 
 
 def test_the_state_store_is_asked_for(spark):
