@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +96,18 @@ def small_batches(spark: SparkSession, rows: int) -> None:
     """Bound the rows of an Arrow batch; the session's byte bound holds besides."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; what Arrow's pool holds unused goes back at its end.
+
+    Workers are used again by later tasks and stages, so what a pool keeps adds to their memory.
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return task

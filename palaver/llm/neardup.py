@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import forget, materialise, row_hash, small_batches
+from palaver.llm.common import forget, lean, materialise, row_hash, small_batches
 from palaver.llm.components import components
 
 #: Most rows of a chosen table that are broadcast: measured at 190 bytes a row (node, key columns
@@ -258,7 +258,7 @@ def sketches(items: DataFrame, k: int, banding: Banding) -> DataFrame:
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     order = items.select(*[f"`{f.name}`" for f in others], "text")
-    return order.mapInArrow(run, f"{ddl}, {SKETCH}")
+    return order.mapInArrow(lean(run), f"{ddl}, {SKETCH}")
 
 
 def _plausible_pairs(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
@@ -275,7 +275,7 @@ def _plausible_pairs(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFra
                 alive = plausible(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist(), percent)
                 yield batch.select(kept).take(pa.array(alive, pa.int64()))
 
-    return joined.mapInArrow(pruned, joined.select(*kept).schema)
+    return joined.mapInArrow(lean(pruned), joined.select(*kept).schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 diff.append(np.concatenate([x[lost], y[~both]]).view(np.int64))
             yield _batched([batch.column("a"), batch.column("b"), n_a, n_b, overlap, diff], schema)
 
-    return joined.mapInArrow(compared, "a binary, b binary, n_a long, n_b long, overlap long, diff array<long>")
+    return joined.mapInArrow(lean(compared), "a binary, b binary, n_a long, n_b long, overlap long, diff array<long>")
 
 
 def _sets(items: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, key: list[str]) -> DataFrame:
@@ -317,7 +317,7 @@ def _sets(items: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, key: list
     if few:
         chosen = F.broadcast(chosen)
     texts = items.join(chosen, by).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
-    return texts.mapInArrow(_hashed(k), "node binary, hashes binary")
+    return texts.mapInArrow(lean(_hashed(k)), "node binary, hashes binary")
 
 
 def _hashed(k: int):

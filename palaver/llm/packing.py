@@ -16,6 +16,8 @@ An empty table gives no piece.
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from array import array
 from collections import Counter
@@ -28,14 +30,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import small_batches
+from palaver.llm.common import lean, small_batches
 
 CAPACITY = 2048
 CLOSING_ID = 1
 #: Rows of input per shard; bounds the pieces that one task packs.
 SHARD_ROWS = 4096
-#: Distinct chunks whose ids a worker remembers before it starts anew.
-CACHE_CHUNKS = 600_000
+#: Distinct chunks whose ids a worker remembers (about 160 bytes each) before it starts anew.
+CACHE_CHUNKS = 250_000
+#: Bytes of text that are split into chunks at once (a longer text is split whole).
+TEXT_AT_ONCE = 1 << 20
 TOKENIZER = "byte_bpe_50k"
 
 #: White space of the Unicode White_Space property (fixed values), as the tokenizers' \s has it.
@@ -57,10 +61,9 @@ class Encoder:
     def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
         import base64
 
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         self.fast = None
         if ranks_path:
             import tiktoken
@@ -70,6 +73,13 @@ class Encoder:
             self.fast = tiktoken.Encoding("palaver", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def slow(self):
+        """The tokenizers library's; read only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def encode(self, text: str) -> bytes:
         """Ids of one text."""
         if self.fast is None or any(s in text for s in self.special):
@@ -91,7 +101,13 @@ class Encoder:
         return out
 
     def encode_batch(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, some texts at a time."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // TEXT_AT_ONCE
+        ends = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        return [ids for lo, hi in zip(ends, ends[1:]) for ids in self._encode_some(texts.slice(lo, hi - lo))]
+
+    def _encode_some(self, texts: pa.Array) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         whole = np.full(len(texts), self.fast is None)
         if self.fast is not None:
@@ -241,7 +257,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, json_path: str | None =
             else:
                 yield pa.RecordBatch.from_arrays(long, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(tokenised, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(tokenised), schema)
 
 
 def pack(

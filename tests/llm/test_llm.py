@@ -256,6 +256,21 @@ def test_tokens_equal_the_library():
     assert e.encode_batch(pa.array([*texts, None])) == [*want, b""]
 
 
+def test_encoders_take_little_at_once(monkeypatch):
+    import public_tokenizers as public
+
+    e = packing.Encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(0, 400)) for _ in range(60)] + [None, prose(rng, 3000), ""]
+    want = [e.encode(t or "") for t in texts]
+    at_once, some = [], e._encode_some
+    monkeypatch.setattr(packing, "TEXT_AT_ONCE", 5000)
+    monkeypatch.setattr(e, "_encode_some", lambda part: at_once.append(part.to_pylist()) or some(part))
+    assert e.encode_batch(pa.array(texts)) == want and e.encode_batch(pa.array([], pa.string())) == []
+    assert sum(at_once, []) == [t or "" for t in texts] and all(sum(map(len, x[1:])) <= 5000 for x in at_once)
+    assert "slow" not in vars(e)  # the library's tokenizer is read only where a text needs it
+
+
 def test_packing(spark):
     rng = random.Random(7)
     rows = [(i, prose(rng, rng.randrange(0, 1500))) for i in range(120)] + [(600, None), (601, ""), (500, prose(rng, 9000)), (None, "x")]
