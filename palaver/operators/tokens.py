@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -20,6 +21,9 @@ from palaver.operators.prompts import chat_template
 #: ``hook(texts)``: for each text its token ids and the (first, behind last) characters of each token.
 Hook = Callable[[list[str]], list[tuple[list[int], list[tuple[int, int]]]]]
 
+#: Bytes of text that a hook gets at once (a longer text alone): ids and offsets are Python objects, some 50 times a text's size.
+TEXT_AT_ONCE = 1 << 18
+
 # The mark that ends a turn, and what some templates put before a reply.
 TURN_END = "<|im_end|>"
 EMPTY_PREFILLS = ["<think>\n\n</think>\n\n", "<think>\n</think>\n\n", "<think></think>\n\n", "<think>\n\n</think>", "<think></think>"]
@@ -77,17 +81,31 @@ def boundary(offsets: np.ndarray, chars: int) -> int:
     return int(beyond.argmax()) if beyond.any() else len(offsets)
 
 
+def _parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of rows with about ``TEXT_AT_ONCE`` bytes of text."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(size.tolist()):
+        if i > start and held + n > TEXT_AT_ONCE:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
 def tokenised(rows: DataFrame, text: str, hook: Hook, bounds: dict[str, str]) -> DataFrame:
     """``rows`` with ``input_ids`` and, for each name of ``bounds``, the token boundary of that column's characters.
 
-    The text is tokenised once, whole; a boundary inside a token lies before it.
+    The text is tokenised once, whole; a boundary inside a token lies before it. The hook gets the texts
+    of ``TEXT_AT_ONCE`` bytes at once, however many rows an Arrow batch has.
     """
     added = [StructField("input_ids", ArrayType(IntegerType(), False)), *[StructField(name, IntegerType()) for name in bounds]]
     schema = StructType([*rows.schema.fields, *added])
     kinds = [to_arrow_type(f.dataType) for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, text)):
             found = hook(batch.column(text).to_pylist())
             if len(found) != batch.num_rows:
                 raise RuntimeError(f"{len(found)} results for {batch.num_rows} texts")

@@ -588,7 +588,7 @@ def learning_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     rows = c.join(last, "conv_id").where("turn <= _last").groupBy("conv_id").agg(said.alias("m"))
     rows = rows.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
-    got = tokens.learning_tokens(tokens.learning_texts(rows, "messages"), _words_and_gaps)
+    got = tokens.learning_tokens(tokens.learning_texts(rows, "messages").drop("messages"), _words_and_gaps)
     return got.select("conv_id", F.size("input_ids").alias("n_tokens"), F.sha2(F.array_join("completion_mask", ""), 256).alias("mask_sha"))
 
 

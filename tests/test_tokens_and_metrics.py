@@ -74,6 +74,19 @@ def test_masks_of_a_thousand_conversations(spark, hook):
         assert got[i] == (list(ids), mask) and 1 in mask and mask[0] == 0
 
 
+def test_hooks_get_bounded_texts(spark):
+    most = tokens.TEXT_AT_ONCE
+
+    def hook(texts):
+        if len(texts) > 1 and sum(map(len, texts)) > most:
+            raise ValueError(f"{len(texts)} texts at once")
+        return [([len(t)], [(0, len(t))]) for t in texts]
+
+    df = spark.range(6000, numPartitions=1).select("id", F.repeat(F.lit("ab "), F.when(F.col("id") == 7, most).otherwise(F.pmod("id", F.lit(300)).cast("int"))).alias("t"))
+    got = tokens.tokenised(df.withColumn("n", F.char_length("t")), "t", hook, {"end": "n"}).select("id", "input_ids", "end").collect()
+    assert sorted((r.id, r.input_ids, r.end) for r in got) == [(i, [3 * (most if i == 7 else i % 300)], int(i % 300 > 0)) for i in range(6000)]
+
+
 def test_prefills_and_broken_conversations(spark):
     text = spark.createDataFrame([(f"p{x}",) for x in ["", *tokens.EMPTY_PREFILLS, "<think>a</think>"]], "t string")
     assert [r.x for r in text.select(tokens.without_prefill(F.col("t")).alias("x")).collect()] == ["p"] * 6 + ["p<think>a</think>"]
