@@ -37,6 +37,9 @@ ASSISTANT_SIGNALS = [
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 #: White space of str.split: Unicode White_Space and the four separators U+001C..U+001F.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
+#: The same characters one by one: White_Space, and besides it the four separators.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE_CHARS = WHITE_SPACE + "\x1c\x1d\x1e\x1f"
 WORD = r"(?U)\b[\w']+\b"
 
 
@@ -50,8 +53,13 @@ def bind(value: Column, body) -> Column:
 
 
 def strip(text: str | Column) -> Column:
-    """Without white space (Unicode) at either end."""
-    return F.regexp_replace(_col(text), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """Without white space (Unicode) at either end. Trimmed by characters: a pattern would be tried at every place of the text."""
+    return F.btrim(_col(text), F.lit(SPACE_CHARS))
+
+
+def blank(text: str | Column) -> Column:
+    """Whether there is nothing but white space (Unicode); looks no further than the first other character."""
+    return F.ltrim(_col(text), F.lit(SPACE_CHARS)) == ""
 
 
 def chat_text(content: str | Column) -> Column:
@@ -161,7 +169,9 @@ def last_words(text: str | Column, n: int) -> Column:
 
 def strip_role_mark(text: str | Column) -> Column:
     """One role marker removed from the end."""
-    return F.rtrim(F.regexp_replace(F.regexp_replace(_col(text), r"(?U)\s+\z", ""), r"\[HUMAN\]: ?\z", ""))
+    mark = "[HUMAN]:"
+    cut = lambda t: F.rtrim(F.substring(t, F.lit(1), F.char_length(t) - len(mark)))
+    return bind(F.rtrim(_col(text), F.lit(WHITE_SPACE)), lambda t: F.when(F.endswith(t, F.lit(mark)), cut(t)).otherwise(t))
 
 
 def strip_role_prefix(text: str | Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.scoring import field
-from palaver.functions.text import _col, bind, strip, strip_role_mark
+from palaver.functions.text import _col, bind, blank, strip, strip_role_mark
 
 MODES = ["history", "persona", "history_persona"]
 # Field names and headers that results must carry.
@@ -84,7 +84,16 @@ def lookup_persona(rows: DataFrame, personas: DataFrame, keys: list[str]) -> Dat
 
 
 def history_section(history: str | Column) -> Column:
-    text = strip(F.regexp_replace(_col(history), r"(?m)^\[THREAD SOURCE\]\s*\n[^\n]*(?:\n+|\z)", ""))
+    return bind(strip(bind(_col(history), _without_source)), _headed)
+
+
+def _without_source(text: Column) -> Column:
+    """Without the source lines; few texts have the mark, and a search for it is much quicker than the pattern."""
+    cut = F.regexp_replace(text, r"(?m)^\[THREAD SOURCE\]\s*\n[^\n]*(?:\n+|\z)", "")
+    return F.when(F.contains(text, F.lit("[THREAD SOURCE]")), cut).otherwise(text)
+
+
+def _headed(text: Column) -> Column:
     return (
         F.when(text == "", F.lit(""))
         .when(F.startswith(text, F.lit("[USER HISTORY]")), text)
@@ -93,11 +102,19 @@ def history_section(history: str | Column) -> Column:
     )
 
 
+def _current(context: str | Column) -> Column:
+    return F.concat(F.lit("[CURRENT CONTEXT]\n"), strip_role_mark(context))
+
+
+def _user_message(section: Column, current: Column, mode: Column) -> Column:
+    """A section is empty or has other characters than white space."""
+    shown = mode.isin("history", "history_persona") & (section != "")
+    return F.when(shown, F.concat(section, F.lit("\n\n"), current)).otherwise(current)
+
+
 def user_message(history: str | Column, context: str | Column, mode: Column) -> Column:
     """History (where the mode has it) and the current context, by a blank line."""
-    past = F.when(mode.isin("history", "history_persona"), history_section(history)).otherwise(F.lit(""))
-    now = F.concat(F.lit("[CURRENT CONTEXT]\n"), strip_role_mark(context))
-    return F.when(strip(past) == "", now).otherwise(F.concat_ws("\n\n", past, now))
+    return bind(history_section(history), lambda past: bind(_current(context), lambda now: _user_message(past, now, mode)))
 
 
 def system_message(persona: str | Column, mode: Column, task: str = TASK) -> Column:
@@ -109,10 +126,14 @@ def system_message(persona: str | Column, mode: Column, task: str = TASK) -> Col
 
 def prompt_messages(history: str | Column, context: str | Column, persona: str | Column, mode: Column, task: str = TASK) -> Column:
     """array<struct<role, content>>: the system and the user message. An unknown mode is an error."""
+    return _messages(lambda known: user_message(history, context, known), persona, mode, task)
+
+
+def _messages(user, persona: str | Column, mode: Column, task: str) -> Column:
     known = F.when(mode.isin(MODES), mode).otherwise(F.raise_error(F.concat(F.lit("unknown mode "), mode)))
     return F.array(
         F.struct(F.lit("system").alias("role"), system_message(persona, known, task).alias("content")),
-        F.struct(F.lit("user").alias("role"), user_message(history, context, known).alias("content")),
+        F.struct(F.lit("user").alias("role"), user(known).alias("content")),
     )
 
 
@@ -122,20 +143,27 @@ def chat_template(messages: Column) -> Column:
     return F.concat(F.array_join(parts, ""), F.lit("<|im_start|>assistant\n"))
 
 
-def recondition(rows: DataFrame, mode: str, task: str = TASK) -> DataFrame:
-    """Rows (history, context, persona, ground_truth) rendered again for one mode."""
-    if mode not in MODES:
-        raise ValueError(f"unknown mode {mode}")
+def recondition(rows: DataFrame, mode: str | list[str], task: str = TASK) -> DataFrame:
+    """Rows (history, context, persona, ground_truth) rendered again for one mode, or for each of several.
+
+    The rows are read once and the texts' sections made once, however many modes there are.
+    """
+    modes = [mode] if isinstance(mode, str) else list(mode)
+    for m in modes:
+        if m not in MODES:
+            raise ValueError(f"unknown mode {m}")
+    known = F.explode(F.array(*[F.lit(m) for m in modes])) if len(modes) > 1 else F.lit(modes[0])
     out = rows.withColumn("context", strip_role_mark("context")).withColumn("ground_truth", strip("ground_truth"))
-    if mode == "history":
-        out = out.withColumn("persona", F.lit(""))
-    else:
-        out = out.withColumn("persona", F.when(strip("persona") == "", F.raise_error(F.lit("blank persona"))).otherwise(strip("persona")))
-    if mode != "persona":
-        out = out.withColumn("user_history", F.when(strip("user_history") == "", F.raise_error(F.lit("blank history"))).otherwise(F.col("user_history")))
-    out = out.withColumn("conditioning_mode", F.lit(mode))
-    out = out.withColumn("prompt", prompt_messages("user_history", "context", "persona", F.lit(mode), task))
-    return out.withColumn("prompt_text", chat_template(F.col("prompt"))).withColumn("raw_prompt", F.to_json("prompt"))
+    out = out.withColumn("persona", strip("persona"))
+    out = out.withColumn("_blank", blank("user_history")).withColumn("_past", history_section("user_history")).withColumn("_now", _current("context"))
+    out = out.withColumn("conditioning_mode", known)
+    needs = lambda least: F.col("conditioning_mode").isin(least, "history_persona")
+    persona = F.when(F.col("persona") == "", F.raise_error(F.lit("blank persona"))).otherwise(F.col("persona"))
+    out = out.withColumn("persona", F.when(needs("persona"), persona).otherwise(F.lit("")))
+    history = F.when(needs("history") & F.col("_blank"), F.raise_error(F.lit("blank history"))).otherwise
+    out = out.withColumn("user_history", history(F.col("user_history"))).withColumn("_past", history(F.col("_past")))
+    out = out.withColumn("prompt", _messages(lambda m: _user_message(F.col("_past"), F.col("_now"), m), "persona", F.col("conditioning_mode"), task))
+    return out.withColumn("prompt_text", chat_template(F.col("prompt"))).withColumn("raw_prompt", F.to_json("prompt")).drop("_blank", "_past", "_now")
 
 
 def reasoning_block(trace: str | Column) -> Column:

@@ -339,11 +339,8 @@ def reconditioned(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" calm "), F.coalesce("source", F.lit("")), F.lit(" one ")).alias("persona"),
         F.concat(F.lit(" truth "), F.col("doc_id").cast("string"), F.lit(" ")).alias("ground_truth"),
     )
-    out = None
-    for mode in ("history", "persona", "history_persona"):
-        got = prompts.recondition(rows, mode, "TASK").select("doc_id", "conditioning_mode", F.sha2("prompt_text", 256).alias("prompt_sha"), "ground_truth")
-        out = got if out is None else out.unionByName(got)
-    return out
+    got = prompts.recondition(rows, prompts.MODES, "TASK")
+    return got.select("doc_id", "conditioning_mode", F.sha2("prompt_text", 256).alias("prompt_sha"), "ground_truth")
 
 
 @query("""WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(x) >= 40) AS m FROM documents)

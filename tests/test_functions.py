@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import scoring, text
 from palaver.operators import copyscan, prompts, splits, threads, turns
+from palaver.plans import evaluation
 from palaver.sources import tables, zipjsonl
 from palaver.streaming import groups
 
@@ -176,6 +177,30 @@ def test_prompt_modes(spark):
         prompts.recondition(d.withColumn("persona", F.lit(" ")), "persona").collect()
 
 
+def test_prompts_of_several_modes_from_one_reading(spark, tmp_path):
+    d = [("[THREAD SOURCE]\npics\n\n old \u3000", "now [HUMAN]: \x85", " p "), ("[HISTORICAL CONTEXT] x", "[HUMAN]:", "p\xa0"), ("[USER HISTORY]", "", "q"), ("a\n[THREAD SOURCE] b", "c\x1f ", "r")]
+    d = spark.createDataFrame(d, "user_history string, context string, persona string").withColumn("ground_truth", F.lit(" t\u2003"))
+    want = [r for m in prompts.MODES for r in prompts.recondition(d, m).collect()]
+    assert sorted(map(tuple, prompts.recondition(d, prompts.MODES).collect())) == sorted(map(tuple, want))
+    assert sorted({r.prompt[1].content for r in want if r.conditioning_mode == "persona"}) == [f"[CURRENT CONTEXT]\n{x}" for x in ("", "", "c\x1f", "now")][1:]
+    assert {r.prompt[1].content.partition("\n\n[CURRENT")[0] for r in want if r.conditioning_mode == "history"} == {
+        "[USER HISTORY]\nold", "[USER HISTORY] x", "[USER HISTORY]", "[USER HISTORY]\na\n[THREAD SOURCE] b"
+    }
+    with pytest.raises(Exception, match="blank history"):
+        prompts.recondition(d.withColumn("user_history", F.lit(" \x1c\u2029")), prompts.MODES).collect()
+    spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = evaluation.reconditioned(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and "regexp_replace" not in plan.replace("THREAD SOURCE", "", 1).partition("regexp_replace")[2]
+
+
+def test_strips_what_the_patterns_strip(spark):
+    ends = [chr(c) for c in range(1, 0x3100)] + ["\U0001f600", "", " \x85\u3000\x1c", "[HUMAN]:", "[HUMAN]: ", "[HUMAN]:\u2003", "[HUMAN]:[HUMAN]: ", "[HUMAN]:  x"]
+    rows = spark.createDataFrame([(e,) for e in ends], "e string").select(F.concat("e", F.lit("a b"), "e").alias("t")).unionByName(spark.createDataFrame([(e,) for e in ends], "t string"))
+    strip = F.regexp_replace("t", r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    mark = F.rtrim(F.regexp_replace(F.regexp_replace("t", r"(?U)\s+\z", ""), r"\[HUMAN\]: ?\z", ""))
+    assert rows.where((text.strip("t") != strip) | (text.strip_role_mark("t") != mark) | (text.blank("t") != (strip == ""))).count() == 0
+
+
 def test_group_stream(spark, tmp_path):
     d = spark.createDataFrame([("x", str(i)) for i in range(9)] + [("y", "0")], "key string, payload string")
     d.coalesce(1).write.json(str(tmp_path / "in"))
