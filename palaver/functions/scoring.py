@@ -59,6 +59,15 @@ def unit(value: Column) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
+def rounded(value: Column, digits: int = 6) -> Column:
+    """Half away from zero at ``digits`` decimals, as SQL engines round a double: of the product, in binary.
+
+    ``F.round`` goes by the shortest decimal, so that 0.5203125, in binary a little less, goes up.
+    """
+    scaled = value * float(10**digits)
+    return F.when(F.abs(scaled) == float("inf"), value).otherwise(F.round(scaled) / float(10**digits))
+
+
 def truth(text: Column) -> Column:
     """Boolean of a JSON value: words for true, or a number other than zero."""
     low = F.lower(F.btrim(text))

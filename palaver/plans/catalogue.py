@@ -443,7 +443,7 @@ def thread_mean_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _judged(spark, sf_dir)
     score = scoring.oriented(F.col("j.rating"), F.col("doc_id") % 2 == 0, F.col("j.parse_error"))
     got = j.select((F.col("doc_id") % 40).alias("thread"), score.alias("s"))
-    return got.groupBy("thread").agg(F.round(F.avg("s"), 6).alias("mean_score"), F.count(F.lit(1)).alias("n"))
+    return got.groupBy("thread").agg(scoring.rounded(F.avg("s")).alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE least(1, (doc_id % 13) * 0.125) END::DOUBLE AS context_specificity,
@@ -485,7 +485,7 @@ def length_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = d.join(b, F.col("doc_id") % b.count() == F.col("item_id"))
     penalty = scoring.length_penalty(text.word_count("text"), text.word_count("truth"))
     reward = scoring.pairwise_reward(1 + F.col("doc_id") % 7, F.lit(0.1), penalty, F.col("text"), F.lit(True))
-    return j.select("doc_id", F.round(penalty, 6).alias("penalty"), F.round(reward, 6).alias("reward"))
+    return j.select("doc_id", scoring.rounded(penalty).alias("penalty"), scoring.rounded(reward).alias("reward"))
 
 
 _GENERATED = """CASE conv_id % 4 WHEN 0 THEN '<reasoning>I think so</reasoning>' || chr(10) || '[HUMAN]: ' || text WHEN 1 THEN 'no tags at all, ' || text
@@ -536,7 +536,7 @@ def question_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").withColumn("active", F.col("doc_id") % 3)
     got = groups.batch_metrics(rows, ["quality", "toxic"], "active")
-    return got.select("metric", F.round("mean", 6).alias("mean"), F.round("active_mean", 6).alias("active_mean"))
+    return got.select("metric", scoring.rounded(F.col("mean")).alias("mean"), scoring.rounded(F.col("active_mean")).alias("active_mean"))
 
 
 # a sample's fields of its document: some batches lack one, some fields are no numbers, one mask is none
@@ -566,7 +566,7 @@ def open_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "train/active/other": F.lit("always"), "reward_extra_info": F.struct(F.lit(7).alias("score"), (n + 1).alias("length_new"), F.when(F.col("doc_id") % 3 > 0, F.col("toxic")).alias("length_part")),
     }
     samples = rows.select("step", F.parse_json(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))).alias("info"))
-    return metrics.open_metrics(samples, ["step"], "info").select("step", "metric", F.round("value", 6).alias("value"))
+    return metrics.open_metrics(samples, ["step"], "info").select("step", "metric", scoring.rounded(F.col("value")).alias("value"))
 
 
 def _words_and_gaps(texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
@@ -693,7 +693,7 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, round(greatest(-8, least(0, avg(-value / 50))) + 0.1, 6) AS reward FROM events GROUP BY 1""")
 def logprob_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(-F.col("value") / 50).alias("m"))
-    return e.select("user_id", F.round(scoring.logprob_reward(F.col("m"), F.lit(0.1)), 6).alias("reward"))
+    return e.select("user_id", scoring.rounded(scoring.logprob_reward(F.col("m"), F.lit(0.1))).alias("reward"))
 
 
 @query("""SELECT count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS n_en, count(DISTINCT source) AS n_sources, count(*) FILTER (WHERE n_chars < 100) AS n_short FROM documents""")
